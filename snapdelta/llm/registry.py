@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality_gam, quality_rules, sharding, toxicity
+from . import bpe, quality_gam, quality_rules, sharding, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_sharding": sharding.op2,
+        "op3_bpe": bpe.op3,
         "op5_toxicity": toxicity.op5,
         "op6_quality_rules": quality_rules.op6,
         "op8_quality_classifier": quality_gam.op8,
