@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, quality_gam, quality_rules, sharding, toxicity
+from . import bpe, jaccard_join, quality_gam, quality_rules, sharding, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_jaccard_join": jaccard_join.op1,
         "op2_sharding": sharding.op2,
         "op3_bpe": bpe.op3,
         "op5_toxicity": toxicity.op5,
