@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, jaccard_join, quality_gam, quality_rules, sharding, toxicity
+from . import bpe, jaccard_join, quality_gam, quality_rules, sharding, substring_dedup, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_toxicity": toxicity.op5,
         "op6_quality_rules": quality_rules.op6,
         "op8_quality_classifier": quality_gam.op8,
+        "op10_substring_dedup": substring_dedup.op10,
     }
 
 
