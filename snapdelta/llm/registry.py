@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, jaccard_join, quality_gam, quality_rules, sharding, substring_dedup, toxicity
+from . import bpe, decontaminate, jaccard_join, quality_gam, quality_rules, secrets, sharding, substring_dedup, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,9 +14,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_jaccard_join": jaccard_join.op1,
         "op2_sharding": sharding.op2,
         "op3_bpe": bpe.op3,
+        "op4_secret_scans": secrets.op4,
         "op5_toxicity": toxicity.op5,
         "op6_quality_rules": quality_rules.op6,
         "op8_quality_classifier": quality_gam.op8,
+        "op9_decontamination": decontaminate.op9,
         "op10_substring_dedup": substring_dedup.op10,
     }
 
