@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, jaccard_join, quality_gam, quality_rules, secrets, sharding, substring_dedup, toxicity
+from . import bpe, decontaminate, jaccard_join, quality_gam, quality_rules, secrets, sharding, substring_dedup, token_shards, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_secret_scans": secrets.op4,
         "op5_toxicity": toxicity.op5,
         "op6_quality_rules": quality_rules.op6,
+        "op7_token_shards": token_shards.op7,
         "op8_quality_classifier": quality_gam.op8,
         "op9_decontamination": decontaminate.op9,
         "op10_substring_dedup": substring_dedup.op10,
