@@ -10,12 +10,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from snapdelta.llm import quality_gam
+from snapdelta.llm import bpe, decontaminate, jaccard_join, quality_gam, secrets
+from snapdelta.llm.shared import read_table, rewrite
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 STAGES: list[tuple[str, Stage]] = [
     ("quality_classifier", quality_gam.stage),
+    ("jaccard_join", jaccard_join.stage),
+    ("decontamination", decontaminate.stage),
+    ("secret_scans", secrets.stage),
+    ("bpe", bpe.stage),
 ]
 
 ORACLE_SQL: str | None = None
@@ -23,8 +28,6 @@ ORACLE_SQL: str | None = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """STAGES applied to the documents of `sf_dir`, in order."""
-    from snapdelta.llm.shared import read_table, rewrite
-
     docs = read_table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
