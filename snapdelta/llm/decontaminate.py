@@ -1,9 +1,10 @@
 """Benchmark decontamination: latent semantic retrieval, then sequence and answer checks.
 
 Document frequencies of hashed words are summed over all documents. A distributed randomised
-SVD follows: each task sums A'(A Omega) over the TF-IDF passages A of its documents, the sums
-are added by blocks of features, and the driver gets the leading right singular vectors from
-this one sketch (Nystrom). Words get latent vectors, scaled so that each direction counts
+SVD follows over a sample of documents, chosen by a hash of their ids and bounded by the
+parameter `sample`: each task sums A'(A Omega) over the TF-IDF passages A of its documents, the
+sums are added by blocks of features, and the driver gets the leading right singular vectors
+from this one sketch (Nystrom). Every document is indexed and searched. Words get latent vectors, scaled so that each direction counts
 alike; passages of 32 words, every 16 words, are compared by cosine with those of all benchmark
 items. A candidate must also reach a cosine of its full TF-IDF words; then the longest common
 subsequence of the item and the place around the passage, and of the item's end (its answer),
@@ -22,21 +23,26 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import arrow_map, read_table, text_buffer
-from .words import LOWER, Words, find_words, hash_runs
-
-BITS, RANK, BLOCK = 14, 64, 16
-CANDIDATE, LIKENESS, SEQUENCE, ANSWER = 0.4, 0.4, 0.7, 0.6
+from .words import find_words, hash_runs
+
+#: Bits of the hashed words of the latent space and of the full TF-IDF comparison; latent dimensions; words of half a passage.
+BITS, FINE, RANK, BLOCK = 14, 17, 128, 16
+#: Items of at most so many words are also compared with half passages.
+SHORT = 22
+#: Least latent cosine, least TF-IDF cosine, least share of an item and of its end in order.
+CANDIDATE, LIKENESS, SEQUENCE, ANSWER = 0.47, 0.33, 0.7, 0.6
 _CLOSING = np.zeros(256, bool)
 _CLOSING[list(b".,;:!?\"')]}#*$%&|<>")] = True
 
 
-def terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words without closing marks, and the first of each text."""
-    w = find_words(LOWER[data], offsets)
+def terms(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the lower-case words without closing marks, and the first of each text."""
+    w = find_words(*text_buffer(pc.utf8_lower(texts)))
     ends = w.ends.copy()
     for _ in range(4):
         cut = (ends - 1 > w.starts) & _CLOSING[w.data[ends - 1]]
@@ -46,34 +52,38 @@ def terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return hash_runs(w.data, w.starts, ends), w.first
 
 
-def buckets(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(64 - BITS)).astype(np.int64)
+def buckets(h: np.ndarray, bits: int = BITS) -> np.ndarray:
+    return (h >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
-    """In how many documents each bucket occurs, over all documents, and their number."""
+def frequencies(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
+    """In how many documents each coarse and each fine bucket occurs, over all documents, and their number."""
 
     def run(batches):
         from .shared import slices
 
-        total, n = np.zeros(1 << BITS, np.int64), 0
+        coarse, fine, n = np.zeros(1 << BITS, np.int64), np.zeros(1 << FINE, np.int64), 0
         for batch in batches:
             for part in slices(batch, "text"):
-                h, first = terms(*text_buffer(part.column("text")))
+                h, first = terms(part.column("text"))
                 doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
-                total += np.bincount(np.unique(doc * (1 << BITS) + buckets(h)) % (1 << BITS), minlength=1 << BITS)
+                order = np.lexsort((buckets(h, FINE), doc)) if len(h) else doc
+                d, f = doc[order], buckets(h, FINE)[order]
+                new = np.ones(len(f), bool)
+                new[1:] = (f[1:] != f[:-1]) | (d[1:] != d[:-1])
+                fine += np.bincount(f[new], minlength=1 << FINE)
+                c = f >> (FINE - BITS)
+                new[1:] = (c[1:] != c[:-1]) | (d[1:] != d[:-1])
+                coarse += np.bincount(c[new], minlength=1 << BITS)
                 n += part.num_rows
+        total = np.concatenate([[n], coarse, fine])
         at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_pydict({"bucket": pa.array(np.append(at, -1)), "n": pa.array(np.append(total[at], n))})
+        yield pa.RecordBatch.from_pydict({"bucket": pa.array(at), "n": pa.array(total[at])})
 
-    out = np.zeros(1 << BITS, np.int64)
-    n = 0
-    for row in docs.select("text").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas().itertuples():  # 2**BITS + 1 rows at most
-        if row.bucket < 0:
-            n = int(row.n)
-        else:
-            out[row.bucket] = row.n
-    return out, n
+    total = np.zeros(1 + (1 << BITS) + (1 << FINE), np.int64)
+    got = docs.select("text").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()  # a row for each bucket at most
+    total[got["bucket"].to_numpy(np.int64)] = got["n"].to_numpy(np.int64)
+    return total[1 : 1 + (1 << BITS)], total[1 + (1 << BITS) :], int(total[0])
 
 
 def passages(first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -86,24 +96,38 @@ def passages(first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return first[:-1][doc] + number * BLOCK, doc, more
 
 
-def passage_vectors(table: np.ndarray, bucket: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Sums of `table` rows over 32 words from every 16th word on; start, end and document of each passage."""
+def block_sums(table: np.ndarray, bucket: np.ndarray, at: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Sums of `table` rows over at most 16 words from each of `at` to `end`."""
+    out = table[bucket[at]]
+    for j in range(1, BLOCK):
+        there = at + j < end
+        if there.all():
+            out += table[bucket[at + j]]
+        else:
+            out[there] += table[bucket[at[there] + j]]
+    return out
+
+
+View = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+def passage_vectors(table: np.ndarray, bucket: np.ndarray, first: np.ndarray) -> tuple[View, View]:
+    """Sums of `table` rows, start, end and document: of 32 words from every 16th word on, and of the blocks of 16 words."""
     at, doc, more = passages(first)
     if len(at) == 0:
-        return np.zeros((0, table.shape[1]), table.dtype), at, at, doc
-    block = np.add.reduceat(table[bucket], at, axis=0)
-    keep = more.copy()
+        view = np.zeros((0, table.shape[1]), table.dtype), at, at, doc
+        return view, view
+    stop = first[1:][doc]
+    block = block_sums(table, bucket, at, stop)
     lone = ~more & ~np.append(False, more[:-1])  # the only block of its document
-    keep |= lone
-    vectors = block[keep]
-    pair = more[keep]
-    vectors[pair] += block[np.flatnonzero(more) + 1]
-    starts = at[keep]
-    return vectors, starts, np.minimum(starts + 2 * BLOCK, first[1:][doc[keep]]), doc[keep]
+    vectors = block.copy()
+    vectors[more] += block[np.flatnonzero(more) + 1]
+    keep = more | lone
+    return (vectors[keep], at[keep], np.minimum(at[keep] + 2 * BLOCK, stop[keep]), doc[keep]), (block, at, np.minimum(at + BLOCK, stop), doc)
 
 
 def sketch(docs: DataFrame, idf: np.ndarray, omega: np.ndarray) -> np.ndarray:
-    """A'(A omega) over all passages A of all documents; the blocks of features are added by Spark."""
+    """A'(A omega) over all blocks of 16 words of `docs`; the blocks of features are added by Spark."""
     width = 256
 
     def run(batches):
@@ -113,12 +137,12 @@ def sketch(docs: DataFrame, idf: np.ndarray, omega: np.ndarray) -> np.ndarray:
         table = (omega * idf[:, None]).astype(np.float32)
         for batch in batches:
             for part in slices(batch, "text"):
-                h, first = terms(*text_buffer(part.column("text")))
+                h, first = terms(part.column("text"))
                 b = buckets(h)
-                at, _, _ = passages(first)
+                at, doc, _ = passages(first)
                 if len(at) == 0:
                     continue
-                block = np.add.reduceat(table[b], at, axis=0)
+                block = block_sums(table, b, at, first[1:][doc])
                 norm = np.sqrt(np.add.reduceat(idf[b] ** 2, at))[:, None] + 1e-9
                 rows = np.repeat(block / norm**2, np.diff(np.append(at, len(b))), axis=0) * idf[b][:, None]
                 order = np.argsort(b, kind="stable")
@@ -185,55 +209,63 @@ class Index:
     """Benchmark items as the tasks need them."""
 
     latent: np.ndarray
-    idf: np.ndarray
+    weight: np.ndarray  # inverse document frequency of each fine bucket
     ids: list[int]
     words: list[list[int]]
     item: np.ndarray  # item of each passage
     unit: np.ndarray  # latent unit vector of each passage
-    sparse: np.ndarray  # TF-IDF unit vector of each passage, a row over the buckets that any item holds
-    column: np.ndarray  # column of each bucket in `sparse`; the last is empty
+    sparse: np.ndarray  # TF-IDF unit vector of each passage, over the fine buckets that any item holds
+    column: np.ndarray  # column of each fine bucket in `sparse`; the last is empty
+    short: np.ndarray  # passages of items of at most SHORT words
 
 
-def build(items: list[tuple[int, str]], latent: np.ndarray, idf: np.ndarray) -> Index:
-    raw = [t.encode() for _, t in items]
-    h, first = terms(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in raw])]).astype(np.int64))
-    b = buckets(h)
-    vectors, starts, ends, item = passage_vectors(latent, b, first)
+def build(items: list[tuple[int, str]], latent: np.ndarray, weight: np.ndarray) -> Index:
+    h, first = terms(pa.array([t for _, t in items], pa.string()))
+    (vectors, starts, ends, item), _ = passage_vectors(latent, buckets(h), first)
+    b = buckets(h, FINE)
     used = np.unique(b)
-    column = np.full(1 << BITS, len(used))
+    column = np.full(1 << FINE, len(used), np.int32)
     column[used] = np.arange(len(used))
     sparse = np.zeros((len(starts), len(used) + 1), np.float32)
     for i, (a, z) in enumerate(zip(starts, ends)):
-        np.add.at(sparse[i], column[b[a:z]], idf[b[a:z]])
+        np.add.at(sparse[i], column[b[a:z]], weight[b[a:z]])
     words = [h[a:z].tolist() for a, z in zip(first[:-1], first[1:])]
-    return Index(latent, idf, [i for i, _ in items], words, item, _unit(vectors), _unit(sparse), column)
-
-
-def candidates(index: Index, b: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(passage start, end, document, item, cosine) of the pairs that reach both cosines."""
-    vectors, starts, ends, doc = passage_vectors(index.latent, b, first)
-    unit = _unit(vectors)
-    found_p, found_q = [], []
-    for k in range(0, len(unit), 4096):
-        p, q = np.nonzero(unit[k : k + 4096] @ index.unit.T >= CANDIDATE)
-        found_p.append(p + k)
-        found_q.append(q)
-    p, q = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (found_p, found_q))
-    weight = index.idf[b]
-    norm = np.sqrt(np.add.reduceat(weight**2, starts)) if len(starts) else starts
-    likeness = np.zeros(len(p))
-    norms = np.zeros(len(p))
-    for j in range(2 * BLOCK):
-        at = starts[p] + j
-        ok = at < ends[p]
-        at = np.minimum(at, len(b) - 1) if len(b) else at
-        likeness += np.where(ok, index.sparse[q, index.column[b[at]]] * weight[at], 0)
-        norms += np.where(ok, weight[at] ** 2, 0)
-    del norm
-    likeness /= np.sqrt(norms) + 1e-12
-    good = likeness >= LIKENESS
-    p, q = p[good], q[good]
-    return starts[p], ends[p], doc[p], index.item[q], likeness[good]
+    short = np.flatnonzero(np.diff(first)[item] <= SHORT)
+    return Index(latent, weight, [i for i, _ in items], words, item, _unit(vectors), _unit(sparse), column, short)
+
+
+def candidates(index: Index, h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(passage start, end, document, item, TF-IDF cosine) of the pairs that reach both cosines.
+
+    Passages of 32 words are compared with all items, blocks of 16 words with short items, which
+    fill too little of a longer passage.
+    """
+    views = passage_vectors(index.latent, buckets(h), first)
+    b = buckets(h, FINE)
+    weight, column = index.weight[b], index.column[b]
+    out = []
+    for (vectors, starts, ends, doc), items in zip(views, (np.arange(len(index.unit)), index.short)):
+        unit, against = _unit(vectors), index.unit[items].T
+        found = [np.flatnonzero((unit[k : k + 2048] @ against >= CANDIDATE).ravel()) + k * len(items) for k in range(0, len(unit), 2048)] if len(items) else []
+        at = np.concatenate(found) if found else np.zeros(0, np.int64)
+        if len(at) == 0:
+            continue
+        p, q = np.divmod(at, len(items))
+        q = items[q]
+        likeness, norm = np.zeros(len(p), np.float32), np.zeros(len(starts), np.float32)
+        for j in range(int((ends - starts).max())):
+            at = np.minimum(starts + j, len(b) - 1)
+            here = np.where(starts + j < ends, weight[at], 0)
+            norm += here * here
+            likeness += index.sparse[q, column[at[p]]] * here[p]
+        likeness /= np.sqrt(norm[p]) + 1e-12
+        good = likeness >= LIKENESS
+        p, q = p[good], q[good]
+        out.append((starts[p], ends[p], doc[p], index.item[q], likeness[good]))
+    if not out:
+        z = np.zeros(0, np.int64)
+        return z, z, z, z, z.astype(float)
+    return tuple(np.concatenate(x) for x in zip(*out))
 
 
 def leaks(docs: DataFrame, index: Index) -> DataFrame:
@@ -245,10 +277,10 @@ def leaks(docs: DataFrame, index: Index) -> DataFrame:
         tail_masks = [_masks(w) for w in tails]
 
         def work(part):
-            h, first = terms(*text_buffer(part.column("text")))
+            h, first = terms(part.column("text"))
             best: dict[tuple[int, int], tuple] = {}
             tried: dict[tuple[int, int], int] = {}
-            for a, z, d, i, cosine in zip(*(x.tolist() for x in candidates(index, buckets(h), first))):
+            for a, z, d, i, cosine in zip(*(x.tolist() for x in candidates(index, h, first))):
                 n = len(index.words[i])
                 lo, hi = max(int(first[d]), a - n), min(int(first[d + 1]), z + n)
                 if tried.get((d, i), -1) >= hi:
@@ -274,18 +306,23 @@ def leaks(docs: DataFrame, index: Index) -> DataFrame:
     return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id long, item_id long, common_words long, item_words long, start_word long, cosine double", make)
 
 
-def decontaminate(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, rank: int = RANK, portion: int = 20_000, seed: int = 9) -> DataFrame:
-    """Every leak of a benchmark item in `docs`, one row for each (doc_id, item_id)."""
-    df, n = frequencies(docs)
-    idf = np.log((1 + n) / (1 + df)) + 0.05
+def decontaminate(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, rank: int = RANK, portion: int = 20_000, sample: int = 20_000, seed: int = 9) -> DataFrame:
+    """Every leak of a benchmark item in `docs`, one row for each (doc_id, item_id).
+
+    `sample` documents at most, about, fit the latent space; they are dealt to eight tasks, so the
+    sums that Spark adds stay eight tables however large the corpus is.
+    """
+    coarse, fine, n = frequencies(docs)
+    idf, weight = (np.log((1 + n) / (1 + df)).astype(np.float32) + np.float32(0.05) for df in (coarse, fine))
     omega = np.random.default_rng(seed).standard_normal((1 << BITS, rank + 16)).astype(np.float32)
-    latent = latent_words(idf, omega.astype(np.float64), sketch(docs, idf, omega), rank)
+    chosen = docs.select("doc_id", "text").filter(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30)) < int(min(1.0, sample / max(n, 1)) * (1 << 30)))
+    latent = latent_words(idf.astype(np.float64), omega.astype(np.float64), sketch(chosen.repartition(8), idf, omega), rank)
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("item_id is not null and text is not null").distinct()
     portions = max(1, -(-items.count() // portion))
     out = None
     for k in range(portions):
         rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(portions)) == k).collect()
-        got = leaks(docs, build(sorted((r["item_id"], r["text"]) for r in rows), latent, idf))
+        got = leaks(docs, build(sorted((r["item_id"], r["text"]) for r in rows), latent, weight))
         out = got if out is None else out.union(got)
     return out.groupBy("doc_id", "item_id").agg(F.max_by(F.struct("common_words", "item_words", "start_word", "cosine"), F.struct("common_words", -F.col("start_word"))).alias("x")).select("doc_id", "item_id", "x.*")
 
