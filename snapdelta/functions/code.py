@@ -9,7 +9,6 @@ not pair, is a gap, and the lexical module rules then stand in for the token rul
 from __future__ import annotations
 
 import base64
-import binascii
 import re
 from bisect import bisect_right
 from dataclasses import dataclass, field
@@ -236,7 +235,7 @@ def _from_base64(v: str) -> bytes:
 #: Encodings whose text can be folded.
 _TO_BYTES = {
     "utf8": str.encode, "utf-8": str.encode, "base64": _from_base64, "base64url": _from_base64,
-    "hex": lambda v: binascii.unhexlify((m := re.match(r"(?:[0-9a-fA-F]{2})*", v))[0] if m else ""),
+    "hex": lambda v: bytes.fromhex(re.match(r"(?:[0-9a-fA-F]{2})*", v)[0]),
     "latin1": lambda v: bytes(ord(c) & 255 for c in v), "ascii": lambda v: bytes(ord(c) & 255 for c in v), "binary": lambda v: bytes(ord(c) & 255 for c in v),
 }
 _TO_TEXT = {
