@@ -6,8 +6,9 @@ cut into blocks, the functions of a block's code points are composed for all blo
 a doubling scan composes the blocks, and a last pass over all blocks emits the boundaries. A
 mark after each text resets the state, so that a whole slice of rows is one scan.
 
-Merging. Slices between boundaries go to a cache of merged pieces; a new piece is merged by
-the rank of its pairs, with a heap when it is long. Token offsets are kept, so that ids give
+Merging. Slices between boundaries, the distinct ones of a slice of rows by a 64-bit hash, go to
+a cache of merged pieces; new short pieces are merged together, round after round, by the rank
+of their pairs, and long ones with a heap. Token offsets are kept, so that ids give
 back the bytes and every token's place.
 
 Null and empty texts have no tokens. Repeated rows repeat; extra columns are ignored; an empty
@@ -27,13 +28,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .shared import arrow_map, read_table, text_buffer
+from .words import hash_runs
 
 #: Code points of the property White_Space.
 WHITE_SPACE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 LETTER, NUMBER, OTHER, BLANK, SPACE, QUOTE, S, T, R, E, V, M, L, D, END = range(15)
 FRESH, IN_LETTERS, IN_NUMBERS, IN_OTHER, AFTER_BLANK, AFTER_SPACE, AT_QUOTE, QUOTE_R, QUOTE_V, QUOTE_L = range(10)
 HERE, BEFORE = 1, 2
-BLOCK = 64
+#: Code points of a block, and of its head.
+BLOCK, HEAD = 64, 4
 #: Pieces that a worker's cache holds before it starts afresh.
 CACHE = 500_000
 
@@ -91,28 +94,53 @@ def _automaton() -> tuple[np.ndarray, np.ndarray]:
 _TO, _EMIT = _automaton()
 
 
+def compose(columns: np.ndarray) -> np.ndarray:
+    """The function from state to state of each row of classes; `columns` are the classes times 10, transposed."""
+    whole = np.tile(np.arange(10, dtype=np.uint8), (columns.shape[1], 1))
+    for c in columns:
+        whole = _TO[c[:, None] + whole]
+    return whole
+
+
 def boundaries(kinds: np.ndarray) -> np.ndarray:
-    """Whether a piece begins at each position of an array of classes."""
+    """Whether a piece begins at each position of an array of classes.
+
+    The functions of HEAD code points are nearly always constant (no state before matters), so a
+    block's later states are known from its head alone; only blocks whose head is not constant
+    are composed whole, and the doubling scan joins all blocks.
+    """
     n = len(kinds)
     if n == 0:
         return np.zeros(0, bool)
     rows = -(-n // BLOCK)
     padded = np.full(rows * BLOCK, END, np.uint8)
     padded[:n] = kinds
-    columns = np.ascontiguousarray(padded.reshape(rows, BLOCK).T).astype(np.uint8) * np.uint8(10)
-    whole = np.tile(np.arange(10, dtype=np.uint8), (rows, 1))
-    for c in columns:
-        whole = _TO[c[:, None] + whole]
-    reach = 1
-    while reach < rows:  # whole[i] becomes the composition of all blocks up to i
-        whole[reach:] = np.take_along_axis(whole[reach:], whole[:-reach].astype(np.int64), axis=1)
-        reach *= 2
-    state = np.concatenate([[np.uint8(FRESH)], whole[:-1, FRESH]]).astype(np.uint8)
+    columns = np.ascontiguousarray(padded.reshape(rows, BLOCK).T) * np.uint8(10)
+    head = compose(columns[:HEAD])
+    open_rows = np.flatnonzero((head != head[:, :1]).any(axis=1))
     marks = np.empty((BLOCK, rows), np.uint8)
-    for k, c in enumerate(columns):
-        at = c + state
+    state = head[:, FRESH].copy()
+    for k in range(HEAD, BLOCK):
+        at = columns[k] + state
         marks[k] = _EMIT[at]
         state = _TO[at]
+    if len(open_rows):
+        whole = np.repeat(state[:, None], 10, axis=1)
+        whole[open_rows] = compose(columns[:, open_rows])
+        reach = 1
+        while reach < rows:  # whole[i] becomes the composition of all blocks up to i
+            whole[reach:] = np.take_along_axis(whole[reach:], whole[:-reach].astype(np.int64), axis=1)
+            reach *= 2
+        state = whole[:, FRESH]
+    entry = np.concatenate([[np.uint8(FRESH)], state[:-1]]).astype(np.uint8)
+    for k in range(HEAD):
+        at = columns[k] + entry
+        marks[k] = _EMIT[at]
+        entry = _TO[at]
+    for k in range(HEAD, BLOCK if len(open_rows) else HEAD):
+        at = columns[k][open_rows] + entry[open_rows]
+        marks[k][open_rows] = _EMIT[at]
+        entry[open_rows] = _TO[at]
     marks = marks.T.ravel()[:n]
     out = (marks & HERE) > 0
     out[:-1] |= (marks[1:] & BEFORE) > 0
@@ -184,12 +212,84 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
+class Pairs:
+    """Rank of each pair of tokens whose bytes together are a token, for many pieces at once."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        pairs = {(ranks[t[:k]] << 32) | ranks[t[k:]]: i for t, i in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks}
+        self.keys = np.array(sorted(pairs), np.int64)
+        self.ranks = np.array([pairs[k] for k in self.keys.tolist()], np.int32)
+        self.none = np.int32(np.iinfo(np.int32).max)
+        self.tables = []  # two hash tables of places in `keys`; what fits in neither is searched for
+        rest = np.arange(len(self.keys))
+        for odd in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F):
+            slot = self.slots(self.keys[rest], odd)
+            table = np.zeros(1 << 20, np.int32)
+            table[slot[::-1]] = rest[::-1]
+            self.tables.append((odd, table))
+            rest = rest[table[slot] != rest]
+        self.rest_keys, self.rest_ranks = self.keys[rest], self.ranks[rest]
+        self.of_byte = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
+        left, right = np.repeat(self.of_byte, 256), np.tile(self.of_byte, 256)
+        self.of_bytes = self.look(left, right).reshape(256, 256)
+
+    @staticmethod
+    def slots(keys: np.ndarray, odd: int) -> np.ndarray:
+        return (keys.view(np.uint64) * np.uint64(odd) >> np.uint64(44)).astype(np.int64)
+
+    def look(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        wanted = left.astype(np.int64) << 32 | right
+        out = np.full(wanted.shape, self.none, np.int32)
+        for odd, table in self.tables:
+            at = table[self.slots(wanted, odd)]
+            hit = self.keys[at] == wanted
+            out[hit] = self.ranks[at[hit]]
+        if len(self.rest_keys):
+            at = np.minimum(np.searchsorted(self.rest_keys, wanted), len(self.rest_keys) - 1)
+            hit = self.rest_keys[at] == wanted
+            out[hit] = self.rest_ranks[at[hit]]
+        return out
+
+    def merge(self, pieces: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces of 2 to `width` bytes, row after row, and how many each has.
+
+        Every round merges in all rows the pair of the lowest rank, the leftmost first.
+        """
+        raw = np.frombuffer(b"".join(p.ljust(width, b"\0") for p in pieces), np.uint8).reshape(len(pieces), width)
+        size = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        place = np.arange(width)
+        ids = self.of_byte[raw]
+        rank = self.of_bytes[raw[:, :-1], raw[:, 1:]].copy()
+        rank[place[:-1] >= size[:, None] - 1] = self.none
+        done_ids, done_size, row = ids.copy(), size.copy(), np.arange(len(pieces))
+        while len(row):
+            at = rank.argmin(axis=1)
+            low = rank[np.arange(len(row)), at]
+            more = low < self.none
+            if not more.all():
+                done_ids[row[~more]], done_size[row[~more]] = ids[~more], size[~more]
+                ids, rank, size, row, at, low = ids[more], rank[more], size[more], row[more], at[more], low[more]
+            n = np.arange(len(row))
+            shift = np.minimum(place + (place > at[:, None]), width - 1)
+            ids = np.take_along_axis(ids, shift, axis=1)
+            ids[n, at] = low
+            rank = np.take_along_axis(rank, np.minimum(place[:-1] + (place[:-1] >= at[:, None]), width - 2), axis=1)
+            size -= 1
+            rank[n, np.minimum(size - 1, width - 2)] = self.none  # also ends the row at its new size
+            left = n[at > 0]
+            rank[left, at[left] - 1] = self.look(ids[left, at[left] - 1], ids[left, at[left]])
+            right = n[at < size - 1]
+            rank[right, at[right]] = self.look(ids[right, at[right]], ids[right, at[right] + 1])
+        return done_ids[place < done_size[:, None]], done_size
+
+
 class Codec(dict):
     """Encoder and decoder by one rank file; as a dict, the cache from a piece to its run in the pool."""
 
     def __init__(self, path: str):
         super().__init__()
         self.ranks = load_ranks(path)
+        self.pairs = Pairs(self.ranks)
         self.bytes_of = [b""] * (max(self.ranks.values()) + 1)
         for b, i in self.ranks.items():
             self.bytes_of[i] = b
@@ -200,13 +300,29 @@ class Codec(dict):
         self.clear()
         self.pool, self.at, self.length = array("I"), array("q"), array("q")
 
-    def __missing__(self, piece: bytes) -> int:
-        ids = merge(piece, self.ranks)
-        self[piece] = n = len(self.at)
+    def keep(self, piece: bytes, ids: list[int]) -> None:
+        self[piece] = len(self.at)
         self.at.append(len(self.pool))
         self.length.append(len(ids))
         self.pool.extend(ids)
-        return n
+
+    def learn(self, pieces: list[bytes]) -> None:
+        """Merges pieces that the cache lacks: short ones together, long ones one by one."""
+        short: dict[int, list[bytes]] = {}
+        for p in pieces:
+            if (one := self.ranks.get(p)) is not None:
+                self.keep(p, [one])
+            elif len(p) <= 32:
+                short.setdefault(-(-len(p) // 8) * 8, []).append(p)
+            else:
+                self.keep(p, merge(p, self.ranks))
+        for width, some in short.items():
+            ids, sizes = self.pairs.merge(some, width)
+            base, n = len(self.pool), len(self.at)
+            self.update(zip(some, range(n, n + len(some))))
+            self.at.extend((base + np.cumsum(sizes) - sizes).tolist())
+            self.length.extend(sizes.tolist())
+            self.pool.frombytes(ids.astype(np.uint32).tobytes())
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, and n + 1 bounds of each text's ids."""
@@ -214,7 +330,15 @@ class Codec(dict):
         if len(self) > CACHE:
             self.forget()
         raw = data.tobytes()
-        number = np.fromiter(map(self.__getitem__, [raw[a:b] for a, b in zip(starts.tolist(), ends.tolist())]), np.int64, len(starts))
+        _, chosen, of = np.unique(hash_runs(data, starts, ends), return_index=True, return_inverse=True)
+        pieces = [raw[a:b] for a, b in zip(starts[chosen].tolist(), ends[chosen].tolist())]
+        known = list(map(self.get, pieces))
+        if None in known:
+            lacking = [i for i, x in enumerate(known) if x is None]
+            self.learn([pieces[i] for i in lacking])
+            for i in lacking:
+                known[i] = self[pieces[i]]
+        number = np.array(known, np.int64)[of]
         sizes = np.array(self.length, np.int64)[number]
         total = int(sizes.sum())
         first = np.cumsum(sizes) - sizes

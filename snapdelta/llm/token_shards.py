@@ -37,7 +37,7 @@ def feistel(numbers: np.ndarray, total: int, key: int, rounds: int = 6) -> np.nd
     """A keyed permutation of 0 .. total - 1, applied to `numbers`."""
     half = max(1, ((max(total, 2) - 1).bit_length() + 1) // 2)
     mask = np.uint64((1 << half) - 1)
-    keys = mix(np.arange(1, rounds + 1, dtype=np.uint64) + np.uint64(key) * np.uint64(0x9E3779B97F4A7C15))
+    keys = mix(np.arange(1, rounds + 1, dtype=np.uint64) + np.uint64(key * 0x9E3779B97F4A7C15 % 2**64))
 
     def once(x: np.ndarray) -> np.ndarray:
         left, right = x >> np.uint64(half), x & mask
