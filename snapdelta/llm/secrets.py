@@ -49,7 +49,7 @@ DICTIONARY = (
 OTHER_WORDS = "commit sha1 sha256 md5 checksum digest hash uuid revision integrity fingerprint example sample placeholder dummy fake test docs".split()
 NEAR = 48
 
-FEATURES = ("length", "digit_share", "upper_share", "symbol_share", "kind_changes", "vowel_changes", "rare_pairs", "distinct_share", "dictionary_share", "hex", "known_form", "secret_word", "other_word", "test_path", "run_share", "quoted")
+FEATURES = ("chars", "digit_share", "upper_share", "symbol_share", "kind_changes", "vowel_changes", "rare_pairs", "distinct_share", "dictionary_share", "hex", "known_form", "secret_word", "other_word", "test_path", "run_share", "quoted")
 
 
 def _count(c: Column, pattern: str) -> Column:
@@ -64,7 +64,7 @@ def with_features(found: DataFrame) -> DataFrame:
     either = lambda words: "(?:" + "|".join(sorted(words, key=len, reverse=True)) + ")"
     yes = lambda c: F.coalesce(c, F.lit(False)).cast("double")
     columns = {
-        "length": F.least(n, F.lit(256.0)),
+        "chars": F.least(n, F.lit(256.0)),
         "digit_share": _count(v, "[0-9]") / n,
         "upper_share": _count(v, "[A-Z]") / n,
         "symbol_share": _count(v, "[^A-Za-z0-9]") / n,
