@@ -63,7 +63,7 @@ def test_findings(report):
         "capability.added.child_process": ("critical", 34), "capability.added.dynamic-code": ("critical", 32), "capability.added.network": ("high", 20), "capability.added.filesystem": ("medium", 10),
         "capability.added.environment": ("low", 4), "capability.added.dns": ("medium", 10), "network.domains.added": ("high", 20), "install-script.added": ("critical", 34),
         "dependencies.non-registry.added": ("high", 18), "dependencies.non-registry.changed": ("high", 18), "dependencies.runtime.added": ("low", 4), "binary.native.added": ("high", 22),
-        "files.executable.changed": ("medium", 9), "files.symlink.added": ("medium", 8), "metadata.maintainers.changed": ("high", 20), "metadata.repository.changed": ("medium", 8),
+        "files.executable.added": ("medium", 9), "files.executable.changed": ("medium", 9), "files.symlink.added": ("medium", 8), "metadata.maintainers.changed": ("high", 20), "metadata.repository.changed": ("medium", 8),
         "analysis.parse-failure": ("high", 25), "obfuscation.control-bytes": ("high", 20), "payload.generated.added": ("low", 4), "obfuscation.encoded-payload": ("high", 20),
     }
     assert {k: (r["severity"], r["score"]) for k, r in got.items()} == want
@@ -88,7 +88,7 @@ def test_renderers(report, tmp_path):
     doc = reports.as_document(report.documents("1970-01-01T00:00:00.000Z").filter("pair_id = 'risky'").first())
     assert json.loads(reports.render_json(doc))["schema_version"] == "1.0.0" and reports.render_json(doc) == reports.render_json(doc)
     sarif = json.loads(reports.render_sarif(doc, os.path.dirname(doc["after"]["resolved"])))["runs"][0]
-    assert len(sarif["results"]) == 20 and sarif["invocations"][0]["exitCode"] == 1
+    assert len(sarif["results"]) == 21 and sarif["invocations"][0]["exitCode"] == 1
     first = sarif["results"][0]
     assert first["level"] == "error" and first["locations"][0]["physicalLocation"]["artifactLocation"]["uri"] == "wild/index.js" and first["baselineState"] == "new"
     doc["after"]["version"] = "<b>|`x`\n# y\x1b[31m"
@@ -105,7 +105,7 @@ def test_baseline_hides_accepted(spark, report, tmp_path):
     reports.write_baseline(report.findings.filter("severity = 'critical'"), path, "t")
     marked = scoring.apply_baseline(report.findings, reports.read_baseline(spark, path))
     risk = scoring.risk(marked.filter("pair_id = 'risky'")).first()
-    assert risk["critical"] == 0 and risk["baseline_findings"] == 3 and risk["new_findings"] == 17
+    assert risk["critical"] == 0 and risk["baseline_findings"] == 3 and risk["new_findings"] == 18
     (tmp_path / "bad.json").write_text('{"schemaVersion": 2, "findings": []}')
     with pytest.raises(InputError):
         reports.read_baseline(spark, str(tmp_path / "bad.json"))
@@ -282,4 +282,4 @@ def test_command_line(spark, pairs, tmp_path, capsys):
 
 def test_rollup(spark, report):
     top = A.rollup(report.findings).filter(F.col("pair_id").isNull() & F.col("category").isNull() & F.col("severity").isNull()).first()
-    assert top["findings"] == 20
+    assert top["findings"] == 21
