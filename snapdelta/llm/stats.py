@@ -70,9 +70,8 @@ def base_counts(data: np.ndarray, offsets: np.ndarray, w: Words | None = None, h
     kinds = _CLASS[data]
     inside = kinds != 1
     starts, ends, doc = lines(data, offsets)
-    has = segment_sums(inside, np.append(starts, len(data)))
-    c = np.concatenate([[0], np.cumsum(inside)])
-    has = c[ends] > c[starts]
+    at = np.searchsorted(w.starts, starts)  # the first word that begins in the line or later
+    has = at < np.searchsorted(w.starts, ends)
     starts, ends, doc = starts[has], ends[has], doc[has]
     n_lines = np.bincount(doc, minlength=n)
     n_dup = n_lines - distinct_in(doc, hash_runs(data, starts, ends), n)
@@ -80,8 +79,7 @@ def base_counts(data: np.ndarray, offsets: np.ndarray, w: Words | None = None, h
     of = w.doc()
     twice = at[repeated(mix(grams ^ mix(of[at].astype(np.uint64))))] if len(at) else at
     step = np.zeros(len(hashes) + 1, np.int64)
-    np.add.at(step, twice, 1)
-    np.add.at(step, twice + 5, -1)
+    step += np.bincount(twice, minlength=len(step)) - np.bincount(twice + 5, minlength=len(step))
     covered = np.cumsum(step[:-1]) > 0
     return {
         "n_words": w.counts,

@@ -9,8 +9,9 @@ Automata. Passages are dealt to shards by their anchor. A shard confirms which w
 in the portion it holds, compiles them, a character for each word, into an Aho-Corasick
 automaton, and streams its passages through it; each occurrence but the first is removed. The
 passages of a very common anchor are dealt over many portions; windows that are first in their
-portion are then compared over all portions by one grouped minimum, so no task ever gathers
-one anchor's passages.
+portion are then compared over all portions by one minimum for each window, so no task ever
+gathers one anchor's passages. Of equal passages in a portion only the first is compiled; the
+others go wholly. The texts are shuffled once: both joins on doc_id read the same exchange.
 
 Words are runs outside white space, unchanged. Null and short texts have no window and lose
 nothing. Order is (doc_id, start): rows that repeat a doc_id are judged as one document would
@@ -26,12 +27,12 @@ import hashlib
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .jaccard_join import by_group
-from .shared import arrow_map, cut, read_table, text_buffer
-from .words import Words, factors, find_words, mix, windows
+from .shared import arrow_map, read_table, text_buffer
+from .words import Words, combined, factors, find_words, mix, window_starts
 
 PHRASE = 5
 #: Passages of one anchor above this number are dealt over several portions.
@@ -43,8 +44,8 @@ COMPILED = 8192
 def anchor_runs(w: Words, hashes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Anchor hash, first window and number of windows of each anchor occurrence (indices of words)."""
     span = width - PHRASE + 1
-    grams, _ = _dense(hashes, PHRASE)
-    _, starts = windows(hashes, w.first, width)
+    grams = combined(hashes, PHRASE)
+    starts = window_starts(w.first, width)
     if len(starts) == 0:
         z = np.zeros(0, np.int64)
         return np.zeros(0, np.uint64), z, z
@@ -62,56 +63,55 @@ def anchor_runs(w: Words, hashes: np.ndarray, width: int) -> tuple[np.ndarray, n
     return grams[anchor[first]], starts[first], np.diff(np.append(first, len(starts)))
 
 
-def _dense(hashes: np.ndarray, width: int) -> tuple[np.ndarray, int]:
-    """Hash of every `width` consecutive words, over document bounds as well."""
-    n = max(0, len(hashes) - width + 1)
-    f = factors(width + 1)
-    total = np.zeros(n, np.uint64)
-    for k in range(width):
-        total += hashes[k : k + n] * f[k + 1]
-    return mix(total), n
-
-
 def anchors(docs: DataFrame, width: int, places: bool) -> DataFrame:
-    """anchor (and doc_id, start, n of its windows) of each anchor occurrence of rows with an id."""
+    """anchor (and doc_id, start of its windows) of each anchor occurrence of rows with an id."""
 
     def make():
         def work(part):
             part = part.filter(part.column("doc_id").is_valid())
             w = find_words(*text_buffer(part.column("text")))
-            h, start, n = anchor_runs(w, w.hashes(), width)
+            h, start, _ = anchor_runs(w, w.hashes(), width)
             out = {"anchor": h.view(np.int64)}
             if places:
                 doc = np.searchsorted(w.first, start, "right") - 1
-                out |= {"doc_id": part.column("doc_id").to_numpy()[doc], "start": (start - w.first[doc]).astype(np.int32), "n": n.astype(np.int32)}
+                out |= {"doc_id": part.column("doc_id").to_numpy()[doc], "start": (start - w.first[doc]).astype(np.int32)}
             return out
 
         return work
 
-    return arrow_map(docs, "anchor long" + ", doc_id long, start int, n int" * places, make)
+    return arrow_map(docs, "anchor long" + ", doc_id long, start int" * places, make)
 
 
 def passages(docs: DataFrame, hits: DataFrame, width: int) -> DataFrame:
-    """The words of the windows of each hit; a document's hits come as one list, bounded by its length."""
-    lists = hits.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "portion", "start", "n", "hot")).alias("hits"))
+    """The words of the windows of each hit; a document's hits come as one list, bounded by its length.
+
+    A hit is a start and a portion (-1 but for hot anchors); its anchor and its number of windows
+    are found in the text again, which is less than to shuffle them.
+    """
+    lists = hits.groupBy("doc_id").agg(F.collect_list(F.struct("start", "portion")).alias("hits"))
 
     def make():
         def work(part):
             w = find_words(*text_buffer(part.column("text")))
+            anchor, begin, count = anchor_runs(w, w.hashes(), width)
             raw = w.data.tobytes()
             column = part.column("hits")
             flat = column.flatten()
             doc = np.repeat(np.arange(part.num_rows), column.value_lengths().to_numpy())
-            start, n = flat.field("start").to_numpy().astype(np.int64), flat.field("n").to_numpy().astype(np.int64)
-            first = w.first[doc] + start
-            ok = first + n + width - 1 <= w.first[doc + 1]  # rows that repeat a doc_id with another text
-            last = np.minimum(first + n + width - 2, len(w.ends) - 1)
-            text = [raw[a:b] if good else b"" for a, b, good in zip(w.starts[np.minimum(first, len(w.starts) - 1)].tolist(), w.ends[last].tolist(), ok.tolist())] if len(w.starts) else [b""] * len(first)
-            return {"doc_id": part.column("doc_id").to_numpy()[doc], "words": pa.array(text, pa.binary())} | {k: flat.field(k) for k in ("anchor", "portion", "start", "n", "hot")}
+            first = w.first[doc] + flat.field("start").to_numpy().astype(np.int64)
+            portion = flat.field("portion").to_numpy()
+            at = np.minimum(np.searchsorted(begin, first), max(len(begin) - 1, 0))
+            ok = (begin[at] == first) & (first < w.first[doc + 1]) if len(begin) else np.zeros(len(first), bool)  # rows that repeat a doc_id may have another text
+            doc, first, portion, at = doc[ok], first[ok], portion[ok], at[ok]
+            ends = w.ends[first + count[at] + width - 2]
+            text = [raw[a:b] for a, b in zip(w.starts[first].tolist(), ends.tolist())]
+            return {
+                "anchor": anchor[at].view(np.int64), "portion": portion, "doc_id": part.column("doc_id").to_numpy()[doc], "start": (first - w.first[doc]).astype(np.int32), "words": pa.array(text, pa.binary()),
+            }
 
         return work
 
-    return arrow_map(docs.join(lists, "doc_id"), "anchor long, portion int, doc_id long, start int, n int, hot boolean, words binary", make)
+    return arrow_map(docs.join(lists, "doc_id"), "anchor long, portion int, doc_id long, start int, words binary", make)
 
 
 def locate(texts: list[str], counts: list[int], places: list[tuple[int, int]], width: int) -> tuple[list[tuple[int, int]], dict[str, tuple[int, int]]]:
@@ -151,18 +151,43 @@ def removals(rows: DataFrame, width: int) -> DataFrame:
     """Removed word ranges (doc_id, start, stop); for hot anchors also (w1, w2) of windows first in their portion."""
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int32()), ("stop", pa.int32()), ("w1", pa.int64()), ("w2", pa.int64())])
 
+    def batch(d, a, b, k1=None, k2=None) -> pa.RecordBatch:
+        none = pa.nulls(len(d), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(np.asarray(a, np.int32)), pa.array(np.asarray(b, np.int32)), none if k1 is None else pa.array(k1), none if k2 is None else pa.array(k2)], schema=schema)
+
     def work(table: pa.Table):
+        anchor, portion, doc, start = (table.column(c).to_pylist() for c in ("anchor", "portion", "doc_id", "start"))
+        raw = table.column("words").to_pylist()
+        first: dict[tuple, int] = {}  # of equal passages the first; the others go wholly
+        kinds: dict[tuple, int] = {}
+        gone = []
+        for i, key in enumerate(zip(anchor, portion, raw)):
+            if not key[2]:
+                continue
+            j = first.setdefault(key, i)
+            if j == i:
+                kinds[key[:2]] = kinds.get(key[:2], 0) + 1
+            elif (doc[i], start[i]) < (doc[j], start[j]):
+                first[key] = i
+                gone.append(j)
+            elif (doc[i], start[i]) > (doc[j], start[j]):
+                gone.append(i)
+        if gone:
+            yield batch([doc[i] for i in gone], [start[i] for i in gone], [start[i] + len(raw[i].split()) for i in gone])
+        rest = [i for key, i in first.items() if kinds[key[:2]] > 1 or portion[i] >= 0]
+        if rest:
+            yield from windowed(table.take(pa.array(rest)))
+
+    def windowed(table: pa.Table):
         words = table.column("words").combine_chunks()
-        words = words.combine_chunks() if isinstance(words, pa.ChunkedArray) else words
-        w = find_words(*text_buffer(words))
+        w = find_words(*text_buffer(words.combine_chunks() if isinstance(words, pa.ChunkedArray) else words))
         hashes = w.hashes()
         _, number = np.unique(hashes, return_inverse=True)
         whole = (number + 0xE000).astype("<u4").tobytes().decode("utf-32-le")
-        n = np.where(w.counts >= width, table.column("n").to_numpy(), 0).tolist()
-        doc, start, hot = (table.column(c).to_numpy() for c in ("doc_id", "start", "hot"))
+        n = np.maximum(w.counts - width + 1, 0).tolist()
+        doc, start, portion = (table.column(c).to_numpy() for c in ("doc_id", "start", "portion"))
         texts = [whole[a:b] for a, b in zip(w.first[:-1].tolist(), w.first[1:].tolist())]
         gone, least = locate(texts, n, list(zip(doc.tolist(), start.tolist())), width)
-        out = []
         if gone:
             i, j = np.array(gone, np.int64).T
             order = np.lexsort((j, i))
@@ -170,17 +195,13 @@ def removals(rows: DataFrame, width: int) -> DataFrame:
             new = np.concatenate([[True], (i[1:] != i[:-1]) | (j[1:] > j[:-1] + 1)])
             a = np.flatnonzero(new)
             b = np.append(a[1:], len(i)) - 1
-            out.append((doc[i[a]], start[i[a]] + j[a], start[i[b]] + j[b] + width, None, None))
-        if hot.any():
-            a = [(i, j) for i in np.flatnonzero(hot).tolist() for j in range(n[i]) if least[texts[i][j : j + width]] == (doc[i], start[i] + j)]
+            yield batch(doc[i[a]], start[i[a]] + j[a], start[i[b]] + j[b] + width)
+        if (portion >= 0).any():
+            a = [(i, j) for i in np.flatnonzero(portion >= 0).tolist() for j in range(n[i]) if least[texts[i][j : j + width]] == (doc[i], start[i] + j)]
             if a:
                 i, j = np.array(a, np.int64).T
                 at = w.first[i] + j
-                keys = [_window_keys(hashes, at, width, salt) for salt in (1, 2)]
-                out.append((doc[i], start[i] + j, start[i] + j + width, *keys))
-        for d, a, b, k1, k2 in out:
-            none = pa.nulls(len(d), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)), none if k1 is None else pa.array(k1), none if k2 is None else pa.array(k2)], schema=schema)
+                yield batch(doc[i], start[i] + j, start[i] + j + width, *[_window_keys(hashes, at, width, salt) for salt in (1, 2)])
 
     def run(batches):
         held, rows_held = [], 0
@@ -206,17 +227,18 @@ def _window_keys(hashes: np.ndarray, at: np.ndarray, width: int, salt: int) -> n
 
 def dedup(spark: SparkSession, documents: DataFrame, width: int = 20, texts: bool = False, portion: int = PORTION) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 (and the kept text) of every row of `documents`."""
-    every = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    # a cast would hide from Spark that both joins read the same exchange
+    every = documents.select("doc_id" if dict(documents.dtypes)["doc_id"] == "bigint" else F.col("doc_id").cast("long").alias("doc_id"), "text")
     docs = every.filter("doc_id is not null")
     again = anchors(docs, width, False).groupBy("anchor").agg(F.count("*").alias("times")).filter("times > 1")
     hits = anchors(docs, width, True).join(again, "anchor")
-    hits = hits.withColumn("hot", F.col("times") > portion).withColumn("portion", F.when(F.col("hot"), F.pmod(F.xxhash64("doc_id", "start"), F.ceil(F.col("times") * 2 / portion))).otherwise(0).cast("int")).drop("times")
-    found = cut(removals(passages(docs, hits, width), width))
-    ranges = found.filter("w1 is null").select("doc_id", "start", "stop")
-    first = found.filter("w1 is not null")
-    least = first.groupBy("w1", "w2").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "start")).alias("least")).filter("n > 1")
-    more = first.join(least, ["w1", "w2"]).filter(F.struct("doc_id", "start") != F.col("least")).select("doc_id", "start", "stop")
-    lists = ranges.union(more).groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("ranges"))
+    spread = F.pmod(F.xxhash64("doc_id", "start"), F.ceil(F.col("times") * 2 / portion))
+    hits = hits.select("doc_id", "start", F.when(F.col("times") > portion, spread).otherwise(-1).cast("int").alias("portion"))
+    found = removals(passages(docs, hits, width), width)
+    alone = F.col("w1").isNull()
+    same = Window.partitionBy("w1", "w2", F.when(alone, F.col("doc_id")), F.when(alone, F.col("start")))
+    found = found.withColumn("least", F.min(F.struct("doc_id", "start")).over(same)).filter(alone | (F.struct("doc_id", "start") != F.col("least")))
+    lists = found.groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("ranges"))
 
     def make():
         def work(part):

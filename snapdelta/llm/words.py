@@ -2,8 +2,9 @@
 
 A word is a run of bytes outside 0x20 and 0x09-0x0D; no byte of a multi-byte UTF-8
 sequence lies there, so bytes and code points give the same words. Hashes are 64 bits
-wide: a random table entry for each byte, times a random odd factor for its place,
-summed and mixed. Two different words collide with a chance near 2**-60.
+wide, from the bytes and the length, mixed; long runs sum a random table entry for each
+byte, times a random odd factor for its place. Two different words collide with a chance
+near 2**-60.
 """
 
 from __future__ import annotations
@@ -19,18 +20,23 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
+_HALF, _ODD = np.uint64(32), np.uint64(0xD6E8FEB86659FD93)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser on 64 bits; every input bit reaches every output bit."""
-    x = np.asarray(x, np.uint64).copy()
-    x ^= x >> np.uint64(32)
-    x *= np.uint64(0xD6E8FEB86659FD93)
-    x ^= x >> np.uint64(32)
-    x *= np.uint64(0xD6E8FEB86659FD93)
-    x ^= x >> np.uint64(32)
+    x = np.asarray(x, np.uint64)
+    x = x ^ (x >> _HALF)
+    x *= _ODD
+    x ^= x >> _HALF
+    x *= _ODD
+    x ^= x >> _HALF
     return x
 
 
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+_LOW = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+_EIGHT = np.uint64(0x9FB21C651E98DF25)
 _factors = np.zeros(0, np.uint64)
 
 
@@ -83,37 +89,57 @@ def find_words(data: np.ndarray, offsets: np.ndarray) -> Words:
 
 
 def hash_runs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hash of data[starts[i]:ends[i]]; the runs are not empty, may overlap and come in any order."""
+    """Hash of data[starts[i]:ends[i]]; the runs are not empty, may overlap and come in any order.
+
+    Runs of up to 64 bytes are read eight bytes at a time, longer ones byte by byte.
+    """
     if len(starts) == 0:
         return np.zeros(0, np.uint64)
     lengths = ends - starts
-    at = np.cumsum(lengths) - lengths
-    place = np.arange(int(lengths.sum())) - np.repeat(at, lengths)
-    values = _BYTE[data[place + np.repeat(starts, lengths)]] * factors(int(lengths.max()))[place]
-    return mix(np.add.reduceat(values, at) + lengths.astype(np.uint64))
+    eights = np.ndarray((len(data),), "<u8", buffer=np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
+    out = mix(lengths.astype(np.uint64) ^ mix((eights[starts] & _LOW[np.minimum(lengths, 8)]) * _EIGHT))
+    more = np.flatnonzero((lengths > 8) & (lengths <= 64))
+    at = 8
+    while len(more):
+        out[more] = mix(out[more] * _EIGHT ^ mix((eights[starts[more] + at] & _LOW[np.minimum(lengths[more] - at, 8)]) + np.uint64(at)))
+        at += 8
+        more = more[lengths[more] > at]
+    long = np.flatnonzero(lengths > 64)
+    if len(long):
+        n = lengths[long]
+        at = np.cumsum(n) - n
+        place = np.arange(int(n.sum())) - np.repeat(at, n)
+        values = _BYTE[data[place + np.repeat(starts[long], n)]] * factors(int(n.max()))[place]
+        out[long] = mix(np.add.reduceat(values, at) + n.astype(np.uint64))
+    return out
+
+
+def window_starts(first: np.ndarray, width: int) -> np.ndarray:
+    """Index of each word from which `width` words of its document go on."""
+    n = np.maximum(np.diff(first) - width + 1, 0)
+    return np.arange(int(n.sum())) + np.repeat(first[:-1] - (np.cumsum(n) - n), n)
+
+
+def combined(hashes: np.ndarray, width: int) -> np.ndarray:
+    """Hash of every `width` consecutive words, over document bounds as well."""
+    n = max(0, len(hashes) - width + 1)
+    f = factors(width + 1)
+    total = np.zeros(n, np.uint64)
+    for k in range(width):
+        total += hashes[k : k + n] * f[k + 1]
+    return mix(total)
 
 
 def windows(hashes: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Hash of each `width` consecutive words of one document, and the index of its first word."""
-    n = len(hashes) - width + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    total = np.zeros(n, np.uint64)
-    f = factors(width + 1)
-    for k in range(width):
-        total += hashes[k : k + n] * f[k + 1]
-    ok = np.ones(n, bool)
-    counts = np.diff(first)
-    # a start is good when it has `width` words of its document from there on
-    tails = np.minimum(counts, width - 1)
-    tail_end = first[1:]
-    spans = np.repeat(tail_end - tails, tails) + (np.arange(int(tails.sum())) - np.repeat(np.cumsum(tails) - tails, tails))
-    ok[spans[spans < n]] = False
-    at = np.flatnonzero(ok)
-    return mix(total[at]), at
+    at = window_starts(first, width)
+    return combined(hashes, width)[at], at
 
 
 def segment_sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Sum of values[first[i]:first[i + 1]] for each i, 0 where that is empty."""
-    c = np.concatenate([[0], np.cumsum(values)])
-    return c[first[1:]] - c[first[:-1]]
+    """Sum of the 0 or 1 values[first[i]:first[i + 1]] for each i, 0 where that is empty."""
+    out = np.zeros(len(first) - 1, np.int64)
+    full = np.flatnonzero(first[1:] > first[:-1])
+    if len(full):
+        out[full] = np.add.reduceat(values[first[0] : first[-1]], first[full] - first[0], dtype=np.int32)
+    return out
