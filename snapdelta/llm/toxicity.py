@@ -1,12 +1,14 @@
 """Toxicity: embeddings of words and character n-grams, averaged into a linear softmax.
 
 A word's vector is the mean of the vectors of its hash buckets (the word and its n-grams of
-3 to 5 bytes), a passage's the mean over its words; buckets and softmax are trained together
-in numpy by full-batch Adam, first on whole documents, then on the passage of each document
-that the model finds most toxic beside a random one. A misspelt word shares most n-grams with
-the word it is meant for. A text's score is that of its worst passage of 16 words, calibrated
-on documents that the training didn't use. As the softmax is linear, a bucket's whole effect
-is one number, so that scoring is a table lookup.
+3 to 7 bytes), a bag's the mean over its words. One dimension starts as the smoothed log odds
+of each bucket; then buckets and softmax are trained together in numpy by full-batch Adam, on
+the bag of the words of each document that the model finds worst, beside random words of clean
+documents. A misspelt word shares most n-grams with the word it is meant for, and n-grams that the
+training never saw don't count. Toxic words are
+few in a long text, so a text's score is that of the bag of its three worst words, found among
+all its words, and calibrated on documents that the training didn't use. As the softmax is
+linear, a bucket's whole effect is one number, so that scoring is a table lookup.
 
 All text counts; null and empty texts get the calibrated score of the bare bias. Ties, repeated
 rows, an empty table and extra columns change nothing for the other rows. Held-out, null or
@@ -23,7 +25,8 @@ from pyspark.sql import DataFrame, SparkSession
 from .shared import arrow_map, held_out, labelled_sample, read_table, text_buffer
 from .subword import grams, means, vocabulary, word_scores
 
-PASSAGE = 16
+#: Words whose vectors are averaged: the worst of a text.
+PASSAGE = 3
 BITS = 19
 
 
@@ -36,44 +39,45 @@ class Toxicity:
     bits: int = BITS
 
     def raw(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        s, w = word_scores(data, offsets, self.table, self.bits)
+        s, w = word_scores(data, offsets, self.table, self.bits, known=True)
         return worst(s, w.first)[0] + self.bias
 
     def score(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.raw(data, offsets) + self.shift, -30, 30)))
 
 
-def worst(s: np.ndarray, first: np.ndarray, width: int = PASSAGE) -> tuple[np.ndarray, np.ndarray]:
-    """Highest mean over `width` words of each document (over all of a shorter one, 0 without words), and where it starts."""
-    counts = np.diff(first)
-    c = np.concatenate([[0.0], np.cumsum(s)])
-    best, at = np.zeros(len(counts)), first[:-1].copy()
-    for i in np.flatnonzero(counts):
-        a, b = first[i], first[i + 1]
-        if b - a <= width:
-            best[i] = (c[b] - c[a]) / (b - a)
-        else:
-            m = c[a + width : b + 1] - c[a : b + 1 - width]
-            k = int(np.argmax(m))
-            best[i], at[i] = m[k] / width, a + k
+def worst(s: np.ndarray, first: np.ndarray, width: int = PASSAGE) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Mean of the `width` highest scores of each document (of all, if it has fewer; 0 without words), and where they are."""
+    best, at = np.zeros(len(first) - 1), []
+    for i, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist())):
+        k = np.arange(a, b) if b - a <= width else a + np.argpartition(s[a:b], b - a - width)[b - a - width :]
+        if b > a:
+            best[i] = s[k].mean()
+        at.append(k)
     return best, at
 
 
 class _Trainer:
     """Full-batch Adam on bucket vectors and softmax for rows that are weighted bags of words."""
 
-    def __init__(self, bucket: np.ndarray, first: np.ndarray, dims: int, rate: float, decay: float, seed: int):
+    def __init__(self, bucket: np.ndarray, first: np.ndarray, dims: int, rate: float, decay: float, seed: int, size: int):
         r = np.random.default_rng(seed)
         self.bucket, self.first, self.size, self.rate, self.decay = bucket, first, np.diff(first), rate, decay
-        self.owner = np.repeat(np.arange(len(self.size)), self.size)
-        self.e = (r.standard_normal((int(bucket.max()) + 1, dims)) * 0.01).astype(np.float32)
+        self.owner = np.repeat(np.arange(len(self.size), dtype=np.int32), self.size)
+        self.e = (r.standard_normal((size, dims)) * 0.01).astype(np.float32)
         self.w = (r.standard_normal((dims, 2)) * 0.5).astype(np.float32)
         self.b = np.zeros(2, np.float32)
         self.moments = [[np.zeros_like(p), np.zeros_like(p)] for p in (self.e, self.w, self.b)]
         self.t = 0
 
+    def begin(self, odds: np.ndarray) -> None:
+        """The first dimension starts as the log odds of each bucket, read by the softmax as such."""
+        self.e[:, 0] = odds
+        self.w[0] = -0.5, 0.5
+
     def words(self) -> np.ndarray:
-        return means(self.e[self.bucket], self.first)
+        """One dimension at a time, so that memory stays a few numbers for each bucket of a word."""
+        return np.column_stack([means(self.e[self.bucket, k], self.first) for k in range(self.e.shape[1])])
 
     def step(self, row: np.ndarray, word: np.ndarray, weight: np.ndarray, y: np.ndarray, importance: np.ndarray) -> None:
         n, d = len(y), self.e.shape[1]
@@ -99,6 +103,24 @@ class _Trainer:
         return self.e @ (self.w[:, 1] - self.w[:, 0]), float(self.b[1] - self.b[0])
 
 
+def _log_odds(doc: np.ndarray, word: np.ndarray, times: np.ndarray, bucket: np.ndarray, first: np.ndarray, y: np.ndarray, use: np.ndarray, size: int, prior: float = 8.0) -> np.ndarray:
+    """Smoothed log odds of a bucket among the words of label 1 against those of label 0; rare buckets stay near 0.
+
+    A document's words weigh as 100 words at most, so that no long text outweighs the others.
+    """
+    n = np.diff(first)
+    length = np.bincount(doc, times, len(y))
+    weight = times * np.minimum(1, 100 / np.maximum(length, 1))[doc]
+    share = []
+    for label in (0, 1):
+        mine = use[doc] & (y[doc] == label)
+        by_word = np.bincount(word[mine], weight[mine], len(n))
+        share.append((np.bincount(bucket, np.repeat(by_word, n), size), by_word.sum()))
+    (clean, all_clean), (bad, all_bad) = share
+    total = max(1.0, all_clean + all_bad)
+    return np.log((bad + prior * all_bad / total) / (clean + prior * all_clean / total) * (max(1.0, all_clean) / max(1.0, all_bad))).astype(np.float32)
+
+
 def platt(raw: np.ndarray, y: np.ndarray, rounds: int = 60) -> tuple[float, float]:
     """Slope and shift of a logistic curve by Newton steps, on smoothed labels."""
     scale = float(np.std(raw)) or 1.0
@@ -114,7 +136,15 @@ def platt(raw: np.ndarray, y: np.ndarray, rounds: int = 60) -> tuple[float, floa
     return float(v[0] / scale), float(v[1])
 
 
-def fit(data: np.ndarray, offsets: np.ndarray, y: np.ndarray, dims: int = 6, rounds: tuple[int, int] = (40, 40), rate: float = 0.05, decay: float = 0.05, least: int = 4, bits: int = BITS, seed: int = 5) -> Toxicity:
+def _known(bucket: np.ndarray, first: np.ndarray, unknown: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket lists without the unknown bucket; a word that has no other keeps one of it."""
+    keep = bucket < unknown
+    none = np.add.reduceat(keep, first[:-1], dtype=np.int64) == 0
+    keep[first[:-1][none]] = True
+    return bucket[keep], np.concatenate([[0], np.cumsum(np.add.reduceat(keep, first[:-1], dtype=np.int64))])
+
+
+def fit(data: np.ndarray, offsets: np.ndarray, y: np.ndarray, dims: int = 6, rounds: int = 24, rate: float = 0.02, decay: float = 0.3, least: int = 4, bits: int = BITS, seed: int = 5) -> Toxicity:
     """Joint training on texts with labels; buckets in fewer than `least` documents stay 0."""
     share = (y.sum() + 1) / (len(y) + 2)
     nothing = Toxicity(np.zeros(1 << bits, np.float32), 0.0, 1.0, float(np.log(share / (1 - share))), bits)
@@ -135,31 +165,23 @@ def fit(data: np.ndarray, offsets: np.ndarray, y: np.ndarray, dims: int = 6, rou
     used = np.flatnonzero(spread >= least)
     if len(used) == 0:
         return nothing
-    dense = np.full(1 << bits, len(used))
+    dense = np.full(1 << bits, len(used), np.int32)
     dense[used] = np.arange(len(used))
-    t = _Trainer(dense[bucket], first, dims, rate, decay, seed)
-    if len(t.e) == len(used):
-        t.e = np.vstack([t.e, np.zeros((1, dims), np.float32)])
-        t.moments[0] = [np.zeros_like(t.e), np.zeros_like(t.e)]
+    bucket, first = _known(dense[bucket], first, len(used))
+    t = _Trainer(bucket, first, dims, rate, decay, seed, len(used) + 1)
     use = ~fold
-    total = np.maximum(w.counts, 1)
+    t.begin(_log_odds(pair_doc, pair_word, counts, t.bucket, t.first, y, use, len(t.e)))
     weigh = lambda labels: np.where(labels == 1, 0.5 / max(1, labels.sum()), 0.5 / max(1, (1 - labels).sum()))
-    mine = use[pair_doc]
-    row_of = np.cumsum(use) - 1
-    for _ in range(rounds[0]):
-        t.step(row_of[pair_doc[mine]], pair_word[mine], (counts / total[pair_doc])[mine], y[use], weigh(y[use]))
-        t.e[len(used)] = 0
     docs = np.flatnonzero(use & (w.counts > 0))
-    for k in range(rounds[1]):
-        if k % 8 == 0:
+    clean = docs[y[docs] == 0]
+    for k in range(rounds):
+        if k % 4 == 0:
             z, _ = t.effect()
             _, top = worst(means(z[t.bucket], t.first)[number], w.first)
-            clean = docs[y[docs] == 0]
-            at = np.concatenate([top[docs], w.first[clean] + (r.random(len(clean)) * np.maximum(1, w.counts[clean] - PASSAGE)).astype(np.int64)])
-            of = np.concatenate([docs, clean])
-            n = np.minimum(PASSAGE, w.first[of + 1] - at)
-            row = np.repeat(np.arange(len(of)), n)
-            word = number[np.repeat(at, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)]
+            other = [w.first[i] + r.integers(0, w.counts[i], PASSAGE) for i in clean.tolist()]
+            bags = [top[i] for i in docs.tolist()] + other
+            of, n = np.concatenate([docs, clean]), np.array([len(x) for x in bags])
+            row, word = np.repeat(np.arange(len(of)), n), number[np.concatenate(bags)]
         t.step(row, word, 1 / n[row], y[of], weigh(y[of]))
         t.e[len(used)] = 0
     z, bias = t.effect()
@@ -170,14 +192,25 @@ def fit(data: np.ndarray, offsets: np.ndarray, y: np.ndarray, dims: int = 6, rou
     return m
 
 
-def train(spark: SparkSession, sf_dir: str, documents: DataFrame, rows: int = 5000) -> Toxicity:
-    """Fit on at most `rows` labelled documents outside the held-out fold; the driver gets their texts."""
-    import pyarrow as pa
+def train(spark: SparkSession, sf_dir: str, documents: DataFrame, rows: int = 3000) -> Toxicity:
+    """Fit on at most `rows` labelled documents outside the held-out fold, in one task; the driver gets the table."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        table = pa.Table.from_batches(list(batches))
+        if table.num_rows:
+            table = table.sort_by([("doc_id", "ascending"), ("text", "ascending")])
+        texts = table.column("text").combine_chunks() if table.num_rows else pa.array([], pa.string())
+        data, offsets = text_buffer(texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts)
+        m = fit(data, offsets, table.column("label").to_numpy().astype(np.int64) if table.num_rows else np.zeros(0, np.int64))
+        yield pa.RecordBatch.from_pydict({"effects": pa.array([m.table.tobytes()], pa.binary()), "bias": [m.bias], "slope": [m.slope], "shift": [m.shift]})
 
-    got = labelled_sample(spark, sf_dir, documents, "toxic", rows).select("doc_id", "label", "text").toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
-    texts = got.column("text").cast(pa.large_string()).combine_chunks()
-    data, offsets = text_buffer(texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts)
-    return fit(data, offsets, got.column("label").to_numpy().astype(np.int64))
+    sample = labelled_sample(spark, sf_dir, documents, "toxic", rows).select("doc_id", "text", "label").repartition(1)
+    row = sample.mapInArrow(run, "effects binary, bias double, slope double, shift double").first()
+    if row is None:
+        return fit(np.zeros(0, np.uint8), np.zeros(1, np.int64), np.zeros(0, np.int64))
+    return Toxicity(np.frombuffer(bytes(row["effects"]), np.float32), row["bias"], row["slope"], row["shift"])
 
 
 def score(docs: DataFrame, model: Toxicity, threshold: float = 0.5) -> DataFrame:
