@@ -13,7 +13,9 @@ import io
 import json
 import os
 import re
+import stat
 import tarfile
+import zipfile
 from collections.abc import Iterator
 from urllib.parse import urlsplit
 
@@ -144,6 +146,11 @@ def scan_archive(data: bytes, limits: rules.Limits = rules.Limits(), ignore: tup
                 members[path] = (tar.extractfile(m).read(), m.mode)
     except (tarfile.TarError, EOFError, OSError, gzip.BadGzipFile) as e:
         raise InputError(f"not a readable archive: {e}") from e
+    yield from _members(members, limits, ignore)
+
+
+def _members(members: dict[str, tuple[bytes, int]], limits: rules.Limits, ignore: tuple[str, ...]) -> Iterator[dict]:
+    """FILES rows of unpacked members; every member below the root is listed or ignored by name."""
     root = archive_root(list(members))
     globs = _globs(ignore)
     paths = sorted((p.removeprefix(root) for p in members), key=lambda p: [x.encode("utf-16-be", "surrogatepass") for x in p.split("/")])
@@ -159,6 +166,36 @@ def scan_archive(data: bytes, limits: rules.Limits = rules.Limits(), ignore: tup
             yield _file(path, content, mode, True, limits)
 
 
+def scan_zip(data: bytes, limits: rules.Limits = rules.Limits(), password: bytes | None = None, ignore: tuple[str, ...] = ()) -> Iterator[dict]:
+    """Files of a ZIP archive, encrypted or not, below its root, under the same rules as tar archives."""
+    if len(data) > limits.max_archive_bytes:
+        raise InputError("the archive is larger than the limit")
+    members: dict[str, tuple[bytes, int]] = {}
+    total = 0
+    try:
+        with zipfile.ZipFile(io.BytesIO(data)) as z:
+            infos = z.infolist()
+            if len(infos) > limits.max_files:
+                raise InputError(f"the archive has more than {limits.max_files} entries")
+            for info in infos:
+                mode = info.external_attr >> 16
+                if not safe_path(info.filename):
+                    raise InputError(f"unsafe path in the archive: {info.filename[:200]!r}")
+                if info.is_dir():
+                    continue
+                if stat.S_IFMT(mode) not in (0, stat.S_IFREG):
+                    raise InputError(f"the archive holds an entry that is no plain file: {info.filename[:200]!r}")
+                with z.open(info, pwd=password) as f:
+                    content = f.read(limits.max_file_bytes + 1)
+                total += len(content)
+                if len(content) > limits.max_file_bytes or total > min(limits.max_total_bytes, max(len(data), 1) * limits.max_ratio):
+                    raise InputError(f"{info.filename[:200]!r} exceeds the size limits")
+                members[info.filename.replace("\\", "/")] = (content, mode or rules.PLAIN)
+    except (zipfile.BadZipFile, RuntimeError, EOFError, OSError, NotImplementedError) as e:
+        raise InputError(f"not a readable archive: {e}") from e
+    yield from _members(members, limits, ignore)
+
+
 def archive_root(paths: list[str]) -> str:
     """The folder that holds the package, with its slash; another folder beside package/ is an input error."""
     tops = {p.split("/", 1)[0] for p in paths}

@@ -182,6 +182,22 @@ def test_hostile_archives(data):
         list(S.scan_archive(data, rules.Limits(max_file_bytes=1800 if len(data) < 5000 else 32 << 20, max_text_bytes=1000)))
 
 
+def test_zip_archives():
+    import zipfile
+
+    def pack(*members):
+        raw = io.BytesIO()
+        with zipfile.ZipFile(raw, "w", zipfile.ZIP_DEFLATED) as z:
+            for name, content in members:
+                z.writestr(name, content)
+        return raw.getvalue()
+
+    assert [f["path"] for f in S.scan_zip(pack(("p/a.js", "1"), ("p/b/c.js", "2")))] == ["a.js", "b/c.js"]
+    for bad in (pack(("../x", "1")), pack(("p/zeros", b"\0" * 3_000_000)), pack(("p/A", "1"), ("p/a", "2")), b"no archive"):
+        with pytest.raises(InputError):
+            list(S.scan_zip(bad))
+
+
 def test_directory_limits_and_ignores(tmp_path):
     put(tmp_path, {"a/b.js": "1", "node_modules/x/y.js": "1", ".npmrc": "k", "a/_u.js": "2"})
     assert [f["path"] for f in S.scan_directory(str(tmp_path))] == [".npmrc", "a/_u.js", "a/b.js"]
