@@ -12,8 +12,8 @@ Search. Within a block, T-occurrence by DivideSkip: each shingle has an inverted
 documents that hold it. For a document with the required overlap T, the L longest of its lists
 are set aside, the others are heap-merged, documents that occur T - L times or more are probed
 by binary search in the long lists, and those that reach the overlap are linked. Documents that
-links already join are not compared again. Blocks above a bound of rows or shingles are cut into parts:
-first each part alone, then every pair of parts that can hold a link between different
+links already join are not compared again. Blocks above a bound of rows or shingles are cut by
+size, as alike sets have like sizes, and where that is not enough into parts: first each part alone, then every pair of parts that can hold a link between different
 components, so that no task holds a whole large block and no link is lost.
 
 Words are runs outside white space, lower-cased in A-Z. Texts with fewer than k words have one
@@ -27,6 +27,7 @@ Sets are told apart by a 64-bit hash; two of n different sets collide with chanc
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -299,11 +300,19 @@ def join(spark: SparkSession, documents: DataFrame, k: int = 5, percent: int = 8
     near = cut(signature_rows(docs, k, percent).join(shared, "sig").filter("node <> centre").select(F.col("node").alias("u"), F.col("centre").alias("v")).distinct())
     blocks = components(near).withColumnsRenamed({"id": "node", "label": "block"})
     one = ids.filter("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"))
-    members = cut(one.join(blocks, "node"))
-    sizes = members.groupBy("block").agg(F.greatest(F.ceil(F.count("*") / part_rows), F.ceil(F.sum("n_shingles") / part_shingles)).cast("int").alias("parts"))
-    members = cut(members.join(sizes, "block").withColumn("part", F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts")).cast("int")))
-    texts = docs.join(members.select("doc_id", "node", "block", "part", "parts"), "doc_id")
-    links = cut(search(texts.select("block", "part", "node", F.col("node").alias("label"), F.lit(True).alias("ask"), "text"), k, percent))
+    members = cut(one.join(blocks, "node").withColumn("ask", F.lit(True)))
+    members = members.join(_parts(members, part_rows, part_shingles), "block")
+    small, large = members.filter("parts = 1").drop("parts"), members.filter("parts > 1").drop("parts")
+    # a large block is cut by size first: alike sets lie in one band or in neighbouring ones, so a
+    # set goes to its own band and, as one that doesn't ask, to the next
+    width = math.log(101 / percent)  # a little over the largest ratio of sizes
+    band = F.floor(F.log(F.col("n_shingles")) / width)
+    large = large.select("node", "doc_id", "n_shingles", "block", F.explode(F.array(F.struct(F.lit(True).alias("ask"), band.alias("band")), F.struct(F.lit(False).alias("ask"), (band + 1).alias("band")))).alias("at"))
+    large = large.select("node", "doc_id", "n_shingles", F.xxhash64("block", "at.band").alias("block"), "at.ask")
+    members = small.unionByName(large)
+    members = cut(members.join(_parts(members, part_rows, part_shingles), "block").withColumn("part", F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts")).cast("int")))
+    texts = docs.join(members.select("doc_id", "node", "block", "part", "ask"), "doc_id")
+    links = cut(search(texts.select("block", "part", "node", F.col("node").alias("label"), "ask", "text"), k, percent))
     large = members.filter("parts > 1")
     if large.limit(1).count():
         links = cut(links.union(across(docs, large, links, k, percent, part_rows, part_shingles)))
@@ -313,6 +322,11 @@ def join(spark: SparkSession, documents: DataFrame, k: int = 5, percent: int = 8
     return named.join(least, "label", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("least", "doc_id")).alias("component_id"))
 
 
+def _parts(members: DataFrame, part_rows: int, part_shingles: int) -> DataFrame:
+    """In how many parts each block has to be searched."""
+    return members.groupBy("block").agg(F.greatest(F.ceil(F.count("*") / part_rows), F.ceil(F.sum("n_shingles") / part_shingles)).cast("int").alias("parts"))
+
+
 def across(docs: DataFrame, large: DataFrame, links: DataFrame, k: int, percent: int, part_rows: int, part_shingles: int) -> DataFrame:
     """Links between the parts of large blocks.
 
@@ -320,7 +334,7 @@ def across(docs: DataFrame, large: DataFrame, links: DataFrame, k: int, percent:
     no link. Askers go in portions, so that a task holds one part and one portion at most.
     """
     found = components(links)
-    labelled = cut(large.join(found.withColumnRenamed("id", "node"), "node", "left").withColumn("label", F.coalesce("label", "node")))
+    labelled = cut(large.drop("ask").join(found.withColumnRenamed("id", "node"), "node", "left").withColumn("label", F.coalesce("label", "node")))
     most = labelled.groupBy("block", "label").count().groupBy("block").agg(F.max_by("label", F.struct("count", F.col("label"))).alias("main"))
     labelled = labelled.join(most, "block").withColumn("ask", F.col("label") != F.col("main"))
     portions = labelled.filter("ask").groupBy("block").agg(F.greatest(F.ceil(F.count("*") / part_rows), F.ceil(F.sum("n_shingles") / part_shingles)).cast("int").alias("portions"))
