@@ -263,7 +263,7 @@ def truncate_snippet(spark, d):
 
 @query("SELECT doc_id, CASE WHEN n < 1024 THEN concat(n,' B') WHEN n < 10240 THEN concat((2*n*100+1024)//2048//100,'.',lpad(((2*n*100+1024)//2048%100)::VARCHAR,2,'0'),' KB') ELSE concat((2*n*10+1024)//2048//10,'.',(2*n*10+1024)//2048%10,' KB') END AS label FROM (SELECT doc_id, strlen(text) AS n FROM documents) WHERE n < 1048576")
 def byte_size_label(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.octet_length("text").alias("n")).filter("n < 1048576").select("doc_id", T.byte_label("n").alias("label"))
+    return table(spark, d, "documents").select("doc_id", F.octet_length("text").alias("n")).select("doc_id", T.byte_label("n").alias("label"))
 
 
 SPECIFIERS = ("^1.2.3", "latest", "npm:x@1", "file:../x", "git+ssh://h/x", "github:a/b", "a/b", "../x", ".", "@s/n", "@s/n@1", "@s/n/x", "x.tgz", "~1.x", "C:\\x", "git@h:a/b", "https://h/x.tgz", ">=1 <2", "workspace:*", "~/x", "*", "1 || 2")

@@ -81,3 +81,10 @@ def test_entry_works_without_the_corpus_operators(tmp_path):
 def test_entry(spark):
     entry = importlib.import_module("__spark_entry__")
     assert entry.entry(spark).count() > 0
+
+
+def test_byte_size_label_of_long_documents(spark, tmp_path):
+    sizes = {1: 1 << 20, 2: 3 * (1 << 20) + (1 << 19), 3: 20 << 20, 4: 1023}
+    spark.createDataFrame(list(sizes.items()), "doc_id long, n int").selectExpr("doc_id", "repeat('x', n) as text").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["label"] for r in Q.byte_size_label(spark, str(tmp_path)).collect()}
+    assert got == {1: "1.00 MB", 2: "3.50 MB", 3: "20.0 MB", 4: "1023 B"}
