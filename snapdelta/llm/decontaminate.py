@@ -238,7 +238,7 @@ def candidates(index: Index, h: np.ndarray, first: np.ndarray) -> tuple[np.ndarr
     """(passage start, end, document, item, TF-IDF cosine) of the pairs that reach both cosines.
 
     Passages of 32 words are compared with all items, blocks of 16 words with short items, which
-    fill too little of a longer passage.
+    fill too little of a longer passage. Both come in one order, by start and the longer first.
     """
     views = passage_vectors(index.latent, buckets(h), first)
     b = buckets(h, FINE)
@@ -265,7 +265,9 @@ def candidates(index: Index, h: np.ndarray, first: np.ndarray) -> tuple[np.ndarr
     if not out:
         z = np.zeros(0, np.int64)
         return z, z, z, z, z.astype(float)
-    return tuple(np.concatenate(x) for x in zip(*out))
+    merged = [np.concatenate(x) for x in zip(*out)]
+    order = np.lexsort((-merged[1], merged[0]))
+    return tuple(x[order] for x in merged)
 
 
 def leaks(docs: DataFrame, index: Index) -> DataFrame:
@@ -283,7 +285,7 @@ def leaks(docs: DataFrame, index: Index) -> DataFrame:
             for a, z, d, i, cosine in zip(*(x.tolist() for x in candidates(index, h, first))):
                 n = len(index.words[i])
                 lo, hi = max(int(first[d]), a - n), min(int(first[d + 1]), z + n)
-                if tried.get((d, i), -1) >= hi:
+                if tried.get((d, i), -1) >= hi:  # starts rise, so this place lies in one that was checked
                     continue
                 tried[d, i] = hi
                 place = h[lo:hi].tolist()

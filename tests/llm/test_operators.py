@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from snapdelta.llm import bpe, decontaminate, jaccard_join, quality_gam, quality_rules, secrets, sharding, stats, substring_dedup, token_shards, toxicity
@@ -359,6 +360,22 @@ def test_decontamination_recall_and_paraphrases(spark):
     assert len(got & leaks) >= 0.95 * len(leaks) and not got - leaks
 
 
+def test_decontamination_short_item_before_a_place_that_fails(spark):
+    """A copy among rare words, which only the block of 16 words finds, and the item's words in another order far behind."""
+    item, rare = [f"common{i}" for i in range(12)], iter(f"rare{i}" for i in range(1000))
+    fill = lambda n: [next(rare) for _ in range(n)]
+    words = fill(2) + item + fill(226) + item[::-1] * 2 + fill(60)
+    h, _ = decontaminate.terms(pa.array([" ".join(item)]))
+    weight, idf = np.full(1 << decontaminate.FINE, 2.5, np.float32), np.full(1 << decontaminate.BITS, 2.5, np.float32)
+    weight[decontaminate.buckets(h, decontaminate.FINE)] = idf[decontaminate.buckets(h)] = 1
+    latent = np.random.default_rng(1).standard_normal((1 << decontaminate.BITS, 512)).astype(np.float32) * idf[:, None]
+    index = decontaminate.build([(5, " ".join(item))], latent, weight)
+    starts = decontaminate.candidates(index, *decontaminate.terms(pa.array([" ".join(words)])))[0].tolist()
+    assert 0 in starts and max(starts) > 200
+    df = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[20:]))], "doc_id long, text string")
+    assert [(r["doc_id"], r["item_id"], r["common_words"]) for r in decontaminate.leaks(df, index).collect()] == [(1, 5, 12)]
+
+
 def test_lcs():
     r = random.Random(2)
     for _ in range(200):
