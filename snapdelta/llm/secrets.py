@@ -9,6 +9,7 @@ usual false alarms (placeholders, words, versions, digests, identifiers, paths,
 
 Places count code points from 1. Null and empty texts have no candidates; a null source is an
 unknown path. Candidates that lie in one another are one, the leftmost and longest form.
+A value has no upper length; a PEM block goes from BEGIN to END, or to the end of its lines where END is missing.
 Repeated rows repeat their findings; rows without doc_id are scanned as well. An empty table
 gives an empty result; extra columns are ignored, and clashing names do no harm, as only the
 columns doc_id, text and source are read.
@@ -27,16 +28,16 @@ from pyspark.sql import functions as F
 
 from .shared import cut, read_table
 
-#: The forms of candidates, tried in this order at each place.
+#: The forms of candidates, tried in this order at each place. Each goes to the natural end of its value.
 FORMS = (
-    r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----",
+    r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----(?:(?:[^-]*-(?!----)){0,256}+[^-]*-----END [A-Z ]{0,20}PRIVATE KEY-----|(?:(?:\s|\\[nr]){1,8}[A-Za-z0-9+/=]{16,}){0,256}+)",
     r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b",
-    r"\bgh[pousr]_[A-Za-z0-9]{36}\b",
-    r"\bxox[abprs]-[A-Za-z0-9-]{10,72}",
-    r"\bAIza[0-9A-Za-z_\-]{35}",
-    r"\bsk_(?:live|test)_[A-Za-z0-9]{16,64}",
+    r"\bgh[pousr]_[A-Za-z0-9]{36,}\b",
+    r"\bxox[abprs]-[A-Za-z0-9-]{10,}",
+    r"\bAIza[0-9A-Za-z_\-]{35,}",
+    r"\bsk_(?:live|test)_[A-Za-z0-9]{16,}",
     r"\beyJ[A-Za-z0-9_\-]{8,}\.eyJ[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}",
-    r"""(?i:\b(?:token|secret|passwd|password|pwd|api[_-]?key|access[_-]?key|client[_-]?secret|auth[_-]?key|private[_-]?key)\b["']?[ \t]{0,4}(?::=|=>|[:=])[ \t]{0,4}["']?)[^\s"'`,;<>]{8,256}""",
+    r"""(?i:\b(?:token|secret|passwd|password|pwd|api[_-]?key|access[_-]?key|client[_-]?secret|auth[_-]?key|private[_-]?key)\b["']?[ \t]{0,4}(?::=|=>|[:=])[ \t]{0,4}["']?)(?!-----BEGIN )[^\s"'`,;<>]{8,}""",
 )
 PATTERN = "|".join(FORMS)
 #: Words that a dictionary would hold and that fill placeholders and identifiers.
@@ -120,11 +121,14 @@ def labelled_findings(spark: SparkSession, rows: int = 4000) -> DataFrame:
         (F.concat(F.substring(mixed, 1, 6), F.lit("!"), F.substring(mixed, 9, 5), F.lit("#"), F.substring(mixed, 20, 4)), True),
         (F.concat(F.lit("AKIA"), F.upper(F.substring(mixed, 1, 16))), False), (F.concat(F.lit("ghp_"), F.substring(mixed, 1, 36)), False), (F.concat(F.lit("sk_live_"), F.substring(mixed, 1, 24)), False),
         (F.concat(F.lit("eyJ"), F.substring(mixed, 1, 20), F.lit(".eyJ"), F.substring(mixed, 21, 40), F.lit("."), F.substring(mixed, 61, 24)), False),
+        (F.concat(F.lit("-----BEGIN RSA PRIVATE KEY-----\n"), F.regexp_replace(F.substring(F.base64(F.unhex(F.repeat(F.concat(digest("a"), digest("b")), 4))), F.lit(1), size(60, 680, 5)), "(.{64})", "$1\n"), F.lit("\n-----END RSA PRIVATE KEY-----")), False),
+        (F.repeat(mixed, 3), True),
     ]
     alarm = [
         (F.concat_ws("_", word(1), word(2), word(3)), True), (F.concat(word(4), word(5)), True), (F.concat_ws("-", F.lit("your"), word(6), F.lit("here")), True), (F.rpad(F.lit(""), size(8, 40, 3), "x"), True),
         (F.concat(F.lit("${"), F.upper(word(7)), F.lit("_"), F.upper(word(8)), F.lit("}")), True), (F.concat_ws(".", word(9), word(10), word(1)), True), (F.concat(F.lit("/"), word(2), F.lit("/"), word(3), F.lit("/"), word(4)), True),
         (F.lit("1234567890123456"), True), (F.rpad(F.lit(""), size(8, 32, 4), "0"), True), (F.concat(word(5), F.initcap(word(6)), F.initcap(word(7)), F.lit("()")), True), (F.concat(F.lit("AKIAEXAMPLE"), F.lit("EXAMPLEX")), False),
+        (F.concat(F.lit("-----BEGIN PRIVATE KEY-----\n"), F.concat_ws(" ", F.lit("your"), word(1), word(2), word(3), F.lit("here")), F.lit("\n-----END PRIVATE KEY-----")), False), (F.concat_ws("/", *[word(k) for k in range(1, 11)] * 4), True),
     ]
     case = lambda options, at, k: reduce(lambda c, o: c.when(at == o[0], o[1][k]), list(enumerate(options))[1:], F.when(at == 0, options[0][k]))
     label = F.pmod(F.xxhash64(i, F.lit("label")), F.lit(2))

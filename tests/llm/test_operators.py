@@ -10,6 +10,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from snapdelta.llm import bpe, decontaminate, jaccard_join, quality_gam, quality_rules, secrets, sharding, stats, substring_dedup, token_shards, toxicity
 from snapdelta.llm.components import components
@@ -228,6 +229,19 @@ def test_secrets(spark, forest, docs, nothing):
     assert secrets.redact(docs, secrets.scan(spark, docs, forest)).count() == docs.count()
 
 
+def test_secrets_go_to_the_end_of_their_values(spark, forest):
+    r = random.Random(8)
+    key = lambda n: "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))
+    pem = lambda kind, n, end="\n": end.join([f"-----BEGIN {kind}PRIVATE KEY-----", *[key(64) for _ in range(n)], f"{key(30)}==", f"-----END {kind}PRIVATE KEY-----"])
+    jwt = f"eyJ{key(200)}.eyJ{key(400)}.{key(96)}"
+    whole = [jwt, f"sk_live_{key(120)}", f"xoxb-{key(50)}-{key(60)}", f"ghp_{key(80)}", pem("RSA ", 26), pem("", 1), pem("EC ", 3, "\\n"), pem("RSA ", 8).replace("-----\n", "-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00FF\n\n", 1)]
+    texts = [f'so token = "{jwt}" end', *[f"so {v} end" for v in whole], f'so private_key = "{whole[4]}" end', f"so {whole[4].rsplit(chr(10), 2)[0]} end", f"so {pem('', 2)} and {pem('', 4)} end"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("source", F.lit("src"))
+    got = secrets.redact(df, secrets.scan(spark, df, forest)).orderBy("doc_id").collect()
+    want = ['so token = "[SECRET]" end', *["so [SECRET] end"] * len(whole), 'so private_key = "[SECRET]" end', "so [SECRET] end", "so [SECRET] and [SECRET] end"]
+    assert [x["text"] for x in got] == want
+
+
 # --- 5, 6, 8: models ----------------------------------------------------------
 
 
