@@ -1,7 +1,7 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest.
 
 All of it is DataFrame and SQL work on the executors. A candidate is a value of a known form or
-one assigned to a name that sounds secret. Its features are its length, the transitions between
+one assigned to a name with a secret word anywhere in it (DB_PASSWORD, apiToken). Its features are its length, the transitions between
 kinds of characters and between neighbouring letters, how much of it a dictionary covers, its
 path (the source column) and the words beside it. The forest is fitted with Spark's own trees
 on labelled findings, which rules write from counters: real keys of several forms, and the
@@ -28,6 +28,10 @@ from pyspark.sql import functions as F
 
 from .shared import cut, read_table
 
+#: A name that holds a secret word, whole from the first of [A-Za-z0-9_.-] on, and what stands between it and its value.
+#: A run that no sign of assignment follows is left at once, and no run is tried from its middle.
+ASSIGN = r"""["']?[ \t]{0,4}(?>:=|=>|[:=])"""
+NAME = rf"""(?i:(?<![A-Za-z0-9_.-])(?=[A-Za-z0-9_.-]++{ASSIGN})(?>[A-Za-z0-9_.-]*(?:token|secret|passwd|password|pwd|api[_-]?key|access[_-]?key|client[_-]?secret|auth[_-]?key|private[_-]?key)[A-Za-z0-9_.-]*){ASSIGN}[ \t]{{0,4}}["']?)"""
 #: The forms of candidates, tried in this order at each place. Each goes to the natural end of its value.
 FORMS = (
     r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----(?:(?:[^-]*-(?!----)){0,256}+[^-]*-----END [A-Z ]{0,20}PRIVATE KEY-----|(?:(?:\s|\\[nr]){1,8}[A-Za-z0-9+/=]{16,}){0,256}+)",
@@ -37,7 +41,7 @@ FORMS = (
     r"\bAIza[0-9A-Za-z_\-]{35,}",
     r"\bsk_(?:live|test)_[A-Za-z0-9]{16,}",
     r"\beyJ[A-Za-z0-9_\-]{8,}\.eyJ[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}",
-    r"""(?i:\b(?:token|secret|passwd|password|pwd|api[_-]?key|access[_-]?key|client[_-]?secret|auth[_-]?key|private[_-]?key)\b["']?[ \t]{0,4}(?::=|=>|[:=])[ \t]{0,4}["']?)(?!-----BEGIN )[^\s"'`,;<>]{8,}""",
+    NAME + r"""(?!-----BEGIN )[^\s"'`,;<>]{8,}""",
 )
 PATTERN = "|".join(FORMS)
 #: Words that a dictionary would hold and that fill placeholders and identifiers.
@@ -76,7 +80,7 @@ def with_features(found: DataFrame) -> DataFrame:
         "dictionary_share": 1 - F.length(F.regexp_replace(low, either(DICTIONARY), "")) / n,
         "hex": yes(v.rlike(r"^(?:0x)?[0-9a-fA-F]{16,}$")),
         "known_form": yes(~F.col("assigned")),
-        "secret_word": yes(around.rlike(r"\b(?:token|secret|password|passwd|pwd|api[_-]?key|credential|auth)")),
+        "secret_word": yes(F.col("assigned") | around.rlike(r"\b(?:token|secret|password|passwd|pwd|api[_-]?key|credential|auth)")),
         "other_word": yes(around.rlike(r"\b" + either(OTHER_WORDS) + r"\b")),
         "test_path": yes(F.lower(F.col("source")).rlike(r"(?:^|[/._-])(?:tests?|spec|examples?|samples?|fixtures?|mocks?|docs?)(?:[/._-]|$)")),
         "run_share": (n - F.length(F.regexp_replace(low, r"(.)\1{2,}", "$1"))) / n,
@@ -98,7 +102,7 @@ def candidates(docs: DataFrame) -> DataFrame:
     found = d.withColumn("matches", matches).filter(F.size("matches") > 0)
     found = found.withColumn("found", F.aggregate("matches", F.struct(empty.alias("found"), F.lit(1).alias("next")), place, lambda a: a["found"]))
     found = found.select("doc_id", "source", F.xxhash64("text").alias("text_hash"), "text", F.explode("found").alias("m"))
-    name = F.regexp_extract(F.col("m.whole"), r"""^((?i:(?:token|secret|passwd|password|pwd|api[_-]?key|access[_-]?key|client[_-]?secret|auth[_-]?key|private[_-]?key)["']?[ \t]{0,4}(?::=|=>|[:=])[ \t]{0,4}["']?))""", 1)
+    name = F.regexp_extract(F.col("m.whole"), f"^({NAME})", 1)
     found = found.withColumn("name", name).withColumn("start", F.col("m.start") + F.length("name")).withColumn("value", F.substring(F.col("m.whole"), F.length("name") + 1, F.length("m.whole")))
     return found.select(
         "doc_id", "text_hash", "source", "start", F.length("value").alias("length"), "value", (F.length("name") > 0).alias("assigned"),

@@ -242,6 +242,18 @@ def test_secrets_go_to_the_end_of_their_values(spark, forest):
     assert [x["text"] for x in got] == want
 
 
+def test_secrets_of_names_with_more_words(spark, forest):
+    value = hashlib.md5(b"k").hexdigest()
+    names = ["DB_PASSWORD=", "access_token=", "auth_token: ", "refresh_token=", "github_token=", "AWS_SECRET_ACCESS_KEY=", "secret_key = ", "apiToken=", "--db.password=", "export my-api-key2 := ", '"client_secret_v2": "', "token =", "password: ", "client_secret="]
+    others = [f"keyboard={value}", "token " + value, "tokens" * 3000 + " end", "a-" * 50000, "password=short"]
+    rows = [(i, f"so {t}") for i, t in enumerate([n + value for n in names] + others)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("source", F.lit("src"))
+    got = secrets.scan(spark, df, forest).cache()
+    assert sorted((r["doc_id"], r["start"], r["value"]) for r in got.collect()) == [(i, len(n) + 4, value) for i, n in enumerate(names)]
+    assert all(r["secret"] for r in got.collect())
+    assert {r["doc_id"]: r["text"] for r in secrets.redact(df, got).collect()} == {i: t.replace(value, "[SECRET]") if i < len(names) else t for i, t in rows}
+
+
 # --- 5, 6, 8: models ----------------------------------------------------------
 
 
