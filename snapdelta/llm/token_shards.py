@@ -5,9 +5,10 @@ one of a text is filled with end marks. The encoded table is written to the shar
 every sequence has a fixed place; counts of its parts give the place a dense number. A keyed
 Feistel network permutes these numbers: it permutes the next power of four, and cycle-walking
 applies it again until the number is below the total. So any task can compute any slot with no
-table and no sort. Rows then go by range of slot; a shard is `stride` sequences, each of the
+table and no sort. Rows then go by range of shard; a shard is `stride` sequences, each of the
 same number of bytes, so slot s lies at byte (s mod stride) * length * width of its shard and a
-reader can start anywhere.
+reader can start anywhere. Tasks write the shards as files into the shared folder, and the query's
+tokens are read back from these files.
 
 Null and empty texts give one sequence of end marks. Repeated rows give a sequence each; a null
 doc_id stays null; an empty table gives no sequence. Extra columns are ignored. The slots depend
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 import os
 import uuid
+from urllib.parse import unquote, urlparse
 
 import numpy as np
 import pandas as pd
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .bpe import codec, default_ranks
 from .jaccard_join import by_group
-from .shared import arrow_map, cut, read_table, text_buffer
+from .shared import arrow_map, cut, ensure_checkpoint_dir, read_table, text_buffer
 from .words import mix
 
 LENGTH, STRIDE, END_ID = 256, 4096, 50256
@@ -75,8 +77,8 @@ def sequences(docs: DataFrame, length: int = LENGTH, end_id: int = END_ID, path:
     return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id long, seq int, n_tokens int, tokens binary", make)
 
 
-def materialise(spark: SparkSession, docs: DataFrame, key: int = 7, length: int = LENGTH, stride: int = STRIDE, path: str | None = None) -> DataFrame:
-    """slot, shard, place, doc_id, seq, n_tokens and tokens of every sequence, by range of slot."""
+def place(docs: DataFrame, key: int = 7, length: int = LENGTH, stride: int = STRIDE, path: str | None = None) -> tuple[DataFrame, int]:
+    """slot, shard, place, doc_id, seq, n_tokens and tokens of every sequence, where they were encoded; and their number."""
     written = cut(sequences(docs, length, path=path)).withColumn("at", F.monotonically_increasing_id())
     part = F.shiftright("at", 33)
     counts = written.groupBy(part.alias("part")).count().orderBy("part").collect()  # a row for each partition
@@ -93,32 +95,64 @@ def materialise(spark: SparkSession, docs: DataFrame, key: int = 7, length: int
         return pd.Series(feistel(bases[x >> 33] + (x & ((1 << 33) - 1)), total, key))
 
     placed = written.withColumn("slot", slot("at")).drop("at").withColumns({"shard": F.floor(F.col("slot") / stride).cast("int"), "place": (F.col("slot") % stride).cast("int")})
-    return placed.repartitionByRange("slot").sortWithinPartitions("slot").select("slot", "shard", "place", "doc_id", "seq", "n_tokens", "tokens")
+    return placed.select("slot", "shard", "place", "doc_id", "seq", "n_tokens", "tokens"), total
+
 
+def materialise(spark: SparkSession, docs: DataFrame, key: int = 7, length: int = LENGTH, stride: int = STRIDE, path: str | None = None) -> DataFrame:
+    """The rows of `place` by range of shard, in order."""
+    return place(docs, key, length, stride, path)[0].repartitionByRange("shard").sortWithinPartitions("slot")
 
-def write_shards(placed: DataFrame, folder: str) -> DataFrame:
+
+def write_shards(placed: DataFrame, folder: str, rows: bool = False) -> DataFrame:
     """Writes shard-<n>.bin below `folder`, a path that all executors share; returns shard, sequences, bytes.
 
-    A shard is written under another name and then renamed, and one of the right size is not
-    written again; so a task that is repeated, or a job that resumes, does no harm. Shards come
-    sorted, and a task holds one row at a time.
+    With `rows` it returns the rows of `placed`, their tokens read back from the files. A shard is
+    written under another name and then renamed, and one that holds the same bytes is not written
+    again; so a task that is repeated, or a job that resumes, does no harm, and shards of other
+    data are replaced. Shards come sorted, and a task holds one shard at a time.
     """
+    names = ["slot", "shard", "place", "doc_id", "seq", "n_tokens", "tokens"]
 
     def run(batches):
         os.makedirs(folder, exist_ok=True)
         for group in by_group(batches, ["shard"]):
             shard, n = group.column("shard")[0].as_py(), group.num_rows
-            size = sum(len(t) for t in group.column("tokens").to_pylist())
+            data, offsets = text_buffer(pa.concat_arrays(group.column("tokens").chunks))
             target = os.path.join(folder, f"shard-{shard:08d}.bin")
-            if not (os.path.exists(target) and os.path.getsize(target) == size):
+            if not (os.path.exists(target) and np.array_equal(np.fromfile(target, np.uint8), data)):
                 other = f"{target}.{uuid.uuid4().hex}"
-                with open(other, "wb") as f:
-                    for t in group.column("tokens").to_pylist():
-                        f.write(t)
+                data.tofile(other)
                 os.replace(other, target)
-            yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "sequences": pa.array([n], pa.int64()), "bytes": pa.array([size], pa.int64())})
-
-    return placed.select("slot", "shard", "tokens").repartitionByRange("shard").sortWithinPartitions("shard", "slot").mapInArrow(run, "shard int, sequences long, bytes long")
+            if not rows:
+                yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "sequences": pa.array([n], pa.int64()), "bytes": pa.array([len(data)], pa.int64())})
+                continue
+            with open(target, "rb") as f:
+                raw = f.read()
+            if len(raw) != len(data):
+                raise OSError(f"{target} has {len(raw)} bytes, not {len(data)}")
+            tokens = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(raw)])
+            yield from group.select(names[:-1]).append_column("tokens", tokens).combine_chunks().to_batches()
+
+    columns, out = (names, placed.select(names).schema) if rows else (["slot", "shard", "tokens"], "shard int, sequences long, bytes long")
+    return placed.select(columns).repartitionByRange("shard").sortWithinPartitions("shard", "slot").mapInArrow(run, out)
+
+
+def export(docs: DataFrame, folder: str, key: int = 7, length: int = LENGTH, stride: int = STRIDE, path: str | None = None) -> DataFrame:
+    """Shards of `docs` in `folder`, written when the rows are asked for; shards of an earlier, longer table are removed."""
+    placed, total = place(docs, key, length, stride, path)
+    for name in os.listdir(folder) if os.path.isdir(folder) else []:
+        if name.startswith("shard-") and name.endswith(".bin") and int(name[6:-4]) >= -(-total // stride):
+            os.remove(os.path.join(folder, name))
+    return write_shards(placed, folder, rows=True)
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new path below the checkpoint folder, which the driver and all executors share as files."""
+    ensure_checkpoint_dir(spark)
+    url = urlparse(spark.sparkContext._jsc.sc().getCheckpointDir().get())
+    if url.scheme not in ("", "file"):
+        raise ValueError(f"shards need a shared folder of files, not {url.scheme}")
+    return os.path.join(unquote(url.path), f"{name}-{uuid.uuid4().hex}")
 
 
 def read_slots(folder: str, start: int, count: int, length: int = LENGTH, stride: int = STRIDE) -> np.ndarray:
@@ -136,4 +170,4 @@ def read_slots(folder: str, start: int, count: int, length: int = LENGTH, stride
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return materialise(spark, read_table(spark, sf_dir, "documents"))
+    return export(read_table(spark, sf_dir, "documents"), shared_folder(spark, "token_shards"))

@@ -200,6 +200,26 @@ def test_token_shards(spark, rows, docs, nothing, tmp_path, tiktoken_encoding):
     assert token_shards.materialise(spark, nothing).count() == 0
 
 
+def test_token_shards_query_writes_what_it_returns(spark, docs, tables, tmp_path, monkeypatch):
+    folder = str(tmp_path / "query")
+    monkeypatch.setattr(token_shards, "shared_folder", lambda spark, name: folder, raising=False)
+    got = sorted(token_shards.op7(spark, tables).collect(), key=lambda r: r["slot"])
+    read = token_shards.read_slots(folder, 0, len(got) + 1)
+    assert [x.tobytes() for x in read] == [bytes(r["tokens"]) for r in got] and [r["slot"] for r in got] == list(range(len(got)))
+
+
+def test_token_shards_into_a_used_folder(spark, docs, nothing, tmp_path):
+    folder, at = str(tmp_path / "used"), {"length": 16, "stride": 8}
+    for df, key in ((docs, 1), (docs, 2), (docs.filter("doc_id < 5"), 2)):  # other data of the same sizes, then fewer shards
+        placed = token_shards.materialise(spark, df, key=key, **at).cache()
+        token_shards.write_shards(placed, folder).collect()
+        want = [bytes(r["tokens"]) for r in placed.orderBy("slot").collect()]
+        assert [x.tobytes() for x in token_shards.read_slots(folder, 0, len(want), **at)] == want
+    got = sorted(token_shards.export(docs.filter("doc_id < 5"), folder, **at).collect(), key=lambda r: r["slot"])
+    assert [x.tobytes() for x in token_shards.read_slots(folder, 0, 10**6, **at)] == [bytes(r["tokens"]) for r in got]
+    assert token_shards.export(nothing, folder, **at).count() == 0 and len(token_shards.read_slots(folder, 0, 1, **at)) == 0
+
+
 # --- 4 ---------------------------------------------------------------------
 
 
