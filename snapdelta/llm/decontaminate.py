@@ -1,10 +1,9 @@
 """Benchmark decontamination: latent semantic retrieval, then sequence and answer checks.
 
 Document frequencies of hashed words are summed over all documents. A distributed randomised
-SVD follows over a sample of documents, chosen by a hash of their ids and bounded by the
-parameter `sample`: each task sums A'(A Omega) over the TF-IDF passages A of its documents, the
-sums are added by blocks of features, and the driver gets the leading right singular vectors
-from this one sketch (Nystrom). Every document is indexed and searched. Words get latent vectors, scaled so that each direction counts
+SVD follows, over all documents too: each task sums A'(A Omega) over the TF-IDF passages A of its
+documents, the sums are added by blocks of features, and the driver gets the leading right singular
+vectors from this one sketch (Nystrom). Every document is indexed and searched. Words get latent vectors, scaled so that each direction counts
 alike; passages of 32 words, every 16 words, are compared by cosine with those of all benchmark
 items. A candidate must also reach a cosine of its full TF-IDF words; then the longest common
 subsequence of the item and the place around the passage, and of the item's end (its answer),
@@ -308,17 +307,12 @@ def leaks(docs: DataFrame, index: Index) -> DataFrame:
     return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id long, item_id long, common_words long, item_words long, start_word long, cosine double", make)
 
 
-def decontaminate(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, rank: int = RANK, portion: int = 20_000, sample: int = 20_000, seed: int = 9) -> DataFrame:
-    """Every leak of a benchmark item in `docs`, one row for each (doc_id, item_id).
-
-    `sample` documents at most, about, fit the latent space; they are dealt to eight tasks, so the
-    sums that Spark adds stay eight tables however large the corpus is.
-    """
+def decontaminate(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, rank: int = RANK, portion: int = 20_000, seed: int = 9) -> DataFrame:
+    """Every leak of a benchmark item in `docs`, one row for each (doc_id, item_id)."""
     coarse, fine, n = frequencies(docs)
     idf, weight = (np.log((1 + n) / (1 + df)).astype(np.float32) + np.float32(0.05) for df in (coarse, fine))
     omega = np.random.default_rng(seed).standard_normal((1 << BITS, rank + 16)).astype(np.float32)
-    chosen = docs.select("doc_id", "text").filter(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30)) < int(min(1.0, sample / max(n, 1)) * (1 << 30)))
-    latent = latent_words(idf.astype(np.float64), omega.astype(np.float64), sketch(chosen.repartition(8), idf, omega), rank)
+    latent = latent_words(idf.astype(np.float64), omega.astype(np.float64), sketch(docs, idf, omega), rank)
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("item_id is not null and text is not null").distinct()
     portions = max(1, -(-items.count() // portion))
     out = None

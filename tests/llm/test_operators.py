@@ -422,6 +422,15 @@ def test_decontamination_short_item_before_a_place_that_fails(spark):
     assert [(r["doc_id"], r["item_id"], r["common_words"]) for r in decontaminate.leaks(df, index).collect()] == [(1, 5, 12)]
 
 
+def test_latent_space_is_fitted_on_all_documents(spark):
+    """Items whose words only one of 40,000 documents holds; a fit on a part of them would miss the words."""
+    items = [(k, " ".join(f"only{k}x{j}" for j in range(20))) for k in range(8)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    plain = spark.range(40000).selectExpr("id + 100 as doc_id", "concat_ws(' ', transform(sequence(1, 24), k -> concat('w', pmod(hash(id, k), 40)))) as text")
+    got = decontaminate.decontaminate(spark, plain.union(spark.createDataFrame(items, "doc_id long, text string")), bench).collect()
+    assert sorted((r["doc_id"], r["item_id"]) for r in got) == [(k, k) for k in range(8)]
+
+
 def test_lcs():
     r = random.Random(2)
     for _ in range(200):
