@@ -102,7 +102,7 @@ UNION ALL SELECT (p.y+1)::BIGINT, p.c, 'removed' FROM y p ANTI JOIN y n ON n.y =
 def set_diff_members(spark, d):
     m = table(spark, d, "orders").select(F.year("o_orderdate").cast("long").alias("year"), F.col("o_custkey").alias("member")).distinct()
     last = m.withColumn("year", F.col("year") + 1)
-    years = F.broadcast(m.select("year").distinct().limit(1000))  # a row for each year
+    years = m.select("year").distinct()
     both = m.withColumn("n", F.lit(True)).join(last.withColumn("p", F.lit(True)), ["year", "member"], "full_outer").filter("n is null or p is null")
     first = F.broadcast(m.agg(F.min("year").alias("first")))
     return both.join(years, "year", "left_semi").crossJoin(first).filter("year > first").select("year", "member", F.when(F.col("n"), "added").otherwise("removed").alias("change"))
@@ -236,7 +236,7 @@ def line_stats(spark, d):
     return got.select("doc_id", F.col("s.lines").alias("lines"), F.col("s.longest").alias("longest"), F.round("s.average", 6).alias("average"), dense.alias("dense"))
 
 
-@query("SELECT page_id, lower(regexp_extract(regexp_replace(regexp_replace(regexp_extract(url,'^https?://[^/]*(/[^?#]*)?',1),'^.*/',''),'[. ]+$',''),'^.+(\\.[^.]*)$',1)) AS ext FROM pages")
+@query("SELECT page_id, lower(regexp_extract(regexp_replace(regexp_replace(regexp_extract(url,'^https?://[^/]*(/[^?#]*)?',1),'^.*/',''),'[.\\s]+$',''),'^.+(\\.[^.]*)$',1)) AS ext FROM pages")
 def extension_of(spark, d):
     return table(spark, d, "pages").select("page_id", T.extension(F.regexp_extract("url", "^https?://[^/]*(/[^?#]*)?", 1)).alias("ext"))
 
@@ -261,7 +261,7 @@ def truncate_snippet(spark, d):
     return table(spark, d, "documents").select("doc_id", T.truncate("text").alias("snippet"))
 
 
-@query("SELECT doc_id, CASE WHEN n < 1024 THEN concat(n,' B') WHEN n < 10240 THEN concat((2*n*100+1024)//2048//100,'.',lpad(((2*n*100+1024)//2048%100)::VARCHAR,2,'0'),' KB') ELSE concat((2*n*10+1024)//2048//10,'.',(2*n*10+1024)//2048%10,' KB') END AS label FROM (SELECT doc_id, strlen(text) AS n FROM documents) WHERE n < 1048576")
+@query("SELECT doc_id, CASE WHEN n < 1024 THEN concat(n,' B') WHEN n < 10*u THEN concat((2*n*100+u)//(2*u)//100,'.',lpad(((2*n*100+u)//(2*u)%100)::VARCHAR,2,'0'),name) ELSE concat((2*n*10+u)//(2*u)//10,'.',(2*n*10+u)//(2*u)%10,name) END AS label FROM (SELECT doc_id, n, CASE WHEN n < 1048576 THEN 1024 WHEN n < 1073741824 THEN 1048576 ELSE 1073741824 END AS u, CASE WHEN n < 1048576 THEN ' KB' WHEN n < 1073741824 THEN ' MB' ELSE ' GB' END AS name FROM (SELECT doc_id, strlen(text) AS n FROM documents))")
 def byte_size_label(spark, d):
     return table(spark, d, "documents").select("doc_id", F.octet_length("text").alias("n")).select("doc_id", T.byte_label("n").alias("label"))
 
@@ -276,12 +276,12 @@ def nonregistry_spec(spark, d):
     return rows.withColumn("direct", T.non_registry("specifier"))
 
 
-RISK_SQL = """WITH f AS (SELECT l_suppkey AS pair_id, CASE l_returnflag WHEN 'R' THEN 'critical' WHEN 'A' THEN 'high' ELSE 'low' END AS severity, l_quantity::INT AS score, concat(l_orderkey,'-',l_linenumber) AS id, CASE WHEN l_linestatus = 'F' THEN 'baseline' ELSE 'new' END AS status FROM lineitem WHERE l_quantity <= 3)
+RISK_SQL = """WITH f AS (SELECT l_suppkey AS pair_id, CASE l_returnflag WHEN 'R' THEN 'critical' WHEN 'A' THEN 'high' ELSE 'low' END AS severity, l_quantity::INT AS score, concat(l_orderkey,'-',l_linenumber) AS id, CASE WHEN l_linestatus = 'F' THEN 'baseline' ELSE 'new' END AS status FROM lineitem)
 """
 
 
 def _line_findings(spark, d):
-    rows = table(spark, d, "lineitem").filter("l_quantity <= 3")
+    rows = table(spark, d, "lineitem")
     severity = F.when(F.col("l_returnflag") == "R", "critical").when(F.col("l_returnflag") == "A", "high").otherwise("low")
     return rows.select(F.col("l_suppkey").alias("pair_id"), severity.alias("severity"), F.col("l_quantity").cast("int").alias("score"), F.concat_ws("-", "l_orderkey", "l_linenumber").alias("id"), F.when(F.col("l_linestatus") == "F", "baseline").otherwise("new").alias("status"))
 

@@ -196,7 +196,10 @@ def annotations(doc: dict, workspace: str | None = None) -> list[str]:
         if f["status"] == "new" and f["severity"] in ("critical", "high", "medium"):
             first = f["evidence"][0] if f["evidence"] else {}
             path = workspace_path(doc, first["file"], workspace) if "file" in first else None
-            where = [f"file={_workflow(path)}"] * bool(path) + [f"line={first['line']}"] * bool(path and "line" in first) + [f"title={NAME} {f['severity']}"]
+            where = [f"file={_workflow(path)}"] if path else []
+            if path and "line" in first:
+                where.append(f"line={first['line']}")
+            where.append(f"title={NAME} {f['severity']}")
             out.append(f"::{'warning' if f['severity'] == 'medium' else 'error'} {','.join(where)}::{_workflow(f['title'])}")
     return out
 

@@ -14,8 +14,8 @@ def values(spark, cases, f, kind="string"):
 
 
 def test_extension(spark):
-    cases = ["a.JS", "dir.x/file", ".npmrc", "a.js. ", "x\\y.MJS", "a.tar.gz", "a.", "d/.hidden.js", ""]
-    assert values(spark, cases, T.extension) == [".js", "", "", ".js", ".mjs", ".gz", "", ".js", ""]
+    cases = ["a.JS", "dir.x/file", ".npmrc", "a.js. ", "x\\y.MJS", "a.tar.gz", "a.", "d/.hidden.js", "", "a.js\t", "a.js.\n \u00a0.", "a\n.ts"]
+    assert values(spark, cases, T.extension) == [".js", "", "", ".js", ".mjs", ".gz", "", ".js", "", ".js", ".js", ".ts"]
 
 
 def test_safe_path(spark):

@@ -88,3 +88,6 @@ def test_byte_size_label_of_long_documents(spark, tmp_path):
     spark.createDataFrame(list(sizes.items()), "doc_id long, n int").selectExpr("doc_id", "repeat('x', n) as text").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r["doc_id"]: r["label"] for r in Q.byte_size_label(spark, str(tmp_path)).collect()}
     assert got == {1: "1.00 MB", 2: "3.50 MB", 3: "20.0 MB", 4: "1023 B"}
+    c = duckdb.connect()
+    c.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    assert dict(c.sql(Q.ORACLES["byte_size_label"]).fetchall()) == got
