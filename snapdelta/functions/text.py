@@ -244,7 +244,7 @@ def dangerous_command(command: Column | str) -> Column:
 NON_REGISTRY = (
     r"(?i)^(?:file|link|workspace|https?|ssh|git(?:\+[^:]+)?|github|gitlab|bitbucket):",
     r"(?i)^(?:\.{1,2}|[a-z]:)$",
-    r"(?i)^(?:\.{1,2}[\\/]|[\\/]|~[\\/]|[a-z]:(?:[\\/]|(?=[^\\/])))",
+    r"(?i)^(?:\.{1,2}[\\/]|[/\\]|~[\\/]|[a-z]:(?:[\\/]|(?=[^\\/])))",
     r"(?i)^(?![~^<>=*|])[^:\s]+\.(?:tgz|tar(?:\.gz)?)$",
     r"^[^@\s]+@[^:\s]+:.+",
     r"^[^:\s\\/]+[\\/][^\s]*$",
