@@ -3,16 +3,19 @@
 A document's set has its distinct k-word shingles as 64-bit hashes. Two stages find all links.
 
 Blocks. Sets of like size whose similarity reaches the threshold differ in at most D shingles.
-If the hash range is cut into more than D segments, one segment at least has the same shingles
-in both; so equal segments (hashed, with the size band and the place) bring every linked pair
-together. Documents that share segments, over any number of steps, form a block; equal sets
-count once, whatever the number of copies.
+If the hash range is cut into more than D segments, some segments have the same shingles in
+both; so equal segments (hashed, with the size band and the place) bring every linked pair
+together. Each set is told how many of its segments a linked set must share; sets that share
+fewer, with any others, are dropped before blocks are made, so that common passages join no
+strangers. Documents that share segments, over any number of steps, then form a block; equal sets
+count once, whatever the number of copies. A segment crosses the network once, and once only for
+each portion of a task's documents, however many of them hold it.
 
 Search. Within a block, T-occurrence by DivideSkip: each shingle has an inverted list of the
 documents that hold it. For a document with the required overlap T, the L longest of its lists
 are set aside, the others are heap-merged, documents that occur T - L times or more are probed
 by binary search in the long lists, and those that reach the overlap are linked. Documents that
-links already join are not compared again. Blocks above a bound of rows or shingles are cut by
+links already join are not compared again and leave the lists before they are merged. Blocks above a bound of rows or shingles are cut by
 size, as alike sets have like sizes, and where that is not enough into parts: first each part alone, then every pair of parts that can hold a link between different
 components, so that no task holds a whole large block and no link is lost.
 
@@ -32,7 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .components import components
@@ -68,12 +71,17 @@ def set_key(s: np.ndarray) -> int:
     return int(x.view(np.int64)[0])
 
 
+#: Low bits of a signature that hold the number of its size band.
+BAND_BITS = 7
+
+
 class Segments:
     """Signatures of sets: for each size band the hash range is cut into D + 1 + spare segments.
 
     Two alike sets agree on spare + 1 segments at least. A set gives no signature for its empty
     segments, unless it has more than `spare`; if all segments on which two sets agree are
-    empty, both sets have more than `spare` of them, and give them.
+    empty, both sets have more than `spare` of them, and give them. So a set that gives none for
+    its e empty segments shares spare + 1 - e signatures at least with each set like it.
     """
 
     def __init__(self, percent: int):
@@ -93,20 +101,24 @@ class Segments:
             yield b, apart + 1 + spare, spare
             b += 1
 
-    def signatures(self, s: np.ndarray) -> np.ndarray:
+    def signatures(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Signatures of a set, the band in their low bits, and how many of a band a like set shares at least."""
         if len(s) == 0:
-            return s
+            return s, np.zeros(0, np.int32)
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(s ^ _U(0x5851F42D4C957F2D)), dtype=np.uint64)])
         top = (s >> _U(32)).astype(np.uint64)
-        out = []
+        out, needs = [], []
         for band, m, spare in self.bands(len(s)):
             cuts = ((np.arange(m + 1, dtype=np.uint64) << _U(32)) + _U(m - 1)) // _U(m)
             at = np.searchsorted(top, cuts)
             at[-1] = len(s)
             empty = at[1:] == at[:-1]
             sig = mix((sums[at[1:]] - sums[at[:-1]]) ^ mix(np.arange(m, dtype=np.uint64) + _U(band << 32)))
-            out.append(sig if empty.sum() > spare else sig[~empty])
-        return np.concatenate(out)
+            sig = sig >> _U(BAND_BITS) << _U(BAND_BITS) | _U(band)
+            n_empty = int(empty.sum())
+            out.append(sig if n_empty > spare else sig[~empty])
+            needs.append(np.full(len(out[-1]), 1 if n_empty > spare else spare + 1 - n_empty, np.int32))
+        return np.concatenate(out), np.concatenate(needs)
 
 
 def identities(docs: DataFrame, k: int) -> DataFrame:
@@ -123,57 +135,129 @@ def identities(docs: DataFrame, k: int) -> DataFrame:
     return arrow_map(docs, "doc_id long, n_shingles long, node long", make)
 
 
-def signature_rows(docs: DataFrame, k: int, percent: int, remembered: int = 200_000) -> DataFrame:
-    """(sig, node) of every row with an id; a task gives a set again only after `remembered` others."""
+#: Signatures that a task sorts at a time, and what became of one there.
+HELD = 1 << 20
+LONE, SHARED, AGAIN = 0, 1, 2
 
-    def make():
-        seen: dict[int, None] = {}
-        segments = Segments(percent)
 
-        def work(part):
-            sigs, nodes = [], []
-            for s, known in zip(shingle_sets(*text_buffer(part.column("text")), k), part.column("doc_id").is_valid().to_pylist()):
-                if len(s) and known and (key := set_key(s)) not in seen:
-                    if len(seen) >= remembered:
-                        seen.clear()
-                    seen[key] = None
-                    sigs.append(segments.signatures(s))
-                    nodes.append(np.full(len(sigs[-1]), key, np.int64))
-            if not sigs:
-                return None
-            return {"sig": np.concatenate(sigs).view(np.int64), "node": np.concatenate(nodes)}
+def signature_rows(docs: DataFrame, k: int, percent: int, held: int = HELD) -> DataFrame:
+    """(sig, node, mark) of the sets of every row with an id, each (sig, node) once for `held` signatures.
 
-        return work
+    mark = 4 * need + LONE, SHARED (others in the same portion have the signature too) or AGAIN (such another).
+    """
+    schema = pa.schema([("sig", pa.int64()), ("node", pa.int64()), ("mark", pa.int32())])
 
-    return arrow_map(docs, "sig long, node long", make)
+    def flush(sigs: list, needs: list, nodes: list) -> pa.RecordBatch:
+        sig, need, node = np.concatenate(sigs), np.concatenate(needs), np.concatenate(nodes)
+        order = np.argsort(sig)
+        sig = sig[order]
+        first = np.concatenate([[True], sig[1:] != sig[:-1]])
+        mark = np.where(first, np.where(np.append(first[1:], True), LONE, SHARED), AGAIN).astype(np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(node[order]), pa.array(need[order] * 4 + mark, pa.int32())], schema=schema)
 
+    def run(batches):
+        segments = Segments(percent)
+        seen: set[int] = set()
+        sigs, needs, nodes, n = [], [], [], 0
+        for batch in batches:
+            for part in slices(batch, "text"):
+                for s, known in zip(shingle_sets(*text_buffer(part.column("text")), k), part.column("doc_id").is_valid().to_pylist()):
+                    if len(s) and known and (key := set_key(s)) not in seen:
+                        seen.add(key)
+                        sig, need = segments.signatures(s)
+                        sigs.append(sig)
+                        needs.append(need)
+                        nodes.append(np.full(len(sig), key, np.int64))
+                        n += len(sig)
+                        if n >= held:
+                            yield flush(sigs, needs, nodes)
+                            seen.clear()
+                            sigs, needs, nodes, n = [], [], [], 0
+        if n:
+            yield flush(sigs, needs, nodes)
+
+    return docs.select("doc_id", "text").mapInArrow(run, "sig long, node long, mark int")
+
+
+def shared_signatures(rows: DataFrame) -> DataFrame:
+    """(sig, node, need) of the signatures that two different nodes have.
+
+    One row a portion and signature meets the others of its signature; the portion's further rows
+    are known to be shared and go anywhere. The rows come sorted, so a task holds one batch.
+    """
+    schema = pa.schema([("sig", pa.int64()), ("node", pa.int64()), ("need", pa.int32())])
 
-class Joined:
-    """Which documents of a task links already join."""
+    def run(batches):
+        empty = np.zeros(0, np.int64)
+        s0, n0, m0, before0 = empty, empty, empty.astype(np.int32), np.zeros(0, bool)
 
-    def __init__(self, labels: np.ndarray):
-        _, first, self.parent = np.unique(labels, return_index=True, return_inverse=True)
-        self.parent = first[self.parent].tolist()
+        def out(sig, node, mark, keep):
+            return pa.RecordBatch.from_arrays([pa.array(sig[keep]), pa.array(node[keep]), pa.array(mark[keep] >> 2, pa.int32())], schema=schema)
 
-    def find(self, x: int) -> int:
-        p = self.parent
-        while p[x] != x:
-            p[x] = x = p[p[x]]
-        return x
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            s, n, m = (np.concatenate([x, batch.column(c).to_numpy()]) for x, c in ((s0, "sig"), (n0, "node"), (m0, "mark")))
+            first = np.flatnonzero(np.concatenate([[True], (s[1:] != s[:-1]) | (n[1:] != n[:-1])]))
+            s, n, m = s[first], n[first], np.maximum.reduceat(m, first)  # a node's need is the same in all its rows of a signature
+            like = s[1:] == s[:-1]
+            before = np.concatenate([before0 if len(before0) else [False], like])
+            shared = before | np.append(like, False) | (m & 3 > 0)
+            s0, n0, m0, before0 = s[-1:], n[-1:], m[-1:], before[-1:]
+            shared[-1] = False
+            if shared.any():
+                yield out(s, n, m, shared)
+        if len(s0):
+            yield out(s0, n0, m0, before0 | (m0 & 3 > 0))
+
+    key = F.when(F.col("mark").bitwiseAND(3) == AGAIN, F.xxhash64("sig", "node")).otherwise(F.col("sig"))
+    return rows.repartition(key).sortWithinPartitions("sig", "node").mapInArrow(run, "sig long, node long, need int").distinct()
+
+
+def near_pairs(shared: DataFrame, rounds: int = 2) -> DataFrame:
+    """(u, v): each node beside the least node of every signature they share.
+
+    Before that, nodes that share fewer signatures of a band than a like set would are dropped,
+    and again, as others then share fewer.
+    """
+    band = F.col("sig").bitwiseAND((1 << BAND_BITS) - 1)
+    for _ in range(rounds):
+        own = Window.partitionBy("node", band)  # as many rows as one set has segments
+        enough = shared.withColumn("n", F.count("*").over(own)).filter("n >= need").drop("n")
+        centres = enough.groupBy("sig").agg(F.min("node").alias("centre"), F.max("node").alias("other")).filter("centre < other").select("sig", "centre")
+        shared = cut(enough.join(centres, "sig").select("sig", "node", "need", "centre"))
+        pairs, shared = shared, shared.drop("centre")
+    return pairs.filter("node <> centre").select(F.col("node").alias("u"), F.col("centre").alias("v")).distinct()
 
 
-def merge_counts(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Documents in the lists, and in how many: a heap merge, by a sort when the lists are large."""
-    if sum(map(len, lists)) > 128:
-        return np.unique(np.concatenate(lists), return_counts=True)
-    docs, counts = [], []
+class Joined:
+    """Which documents of a task links already join: equal labels; a join relabels the smaller side."""
+
+    def __init__(self, labels: np.ndarray):
+        _, self.label = np.unique(labels, return_inverse=True)
+        order = np.argsort(self.label, kind="stable")
+        self.members = np.split(order, np.cumsum(np.bincount(self.label))[:-1]) if len(labels) else []
+
+    def join(self, x: int, y: int) -> None:
+        a, b = int(self.label[x]), int(self.label[y])
+        if len(self.members[a]) < len(self.members[b]):
+            a, b = b, a
+        self.label[self.members[b]] = a
+        self.members[a] = np.concatenate([self.members[a], self.members[b]])
+        self.members[b] = self.members[b][:0]
+
+
+def merge_counts(lists: list[np.ndarray]) -> tuple[list[int], list[int]]:
+    """Documents in the sorted lists, and in how many, by a heap merge."""
+    docs, counts, last = [], [], -1
     for d in heapq.merge(*[x.tolist() for x in lists]):
-        if docs and docs[-1] == d:
+        if d == last:
             counts[-1] += 1
         else:
             docs.append(d)
             counts.append(1)
-    return np.array(docs, np.int64), np.array(counts, np.int64)
+            last = d
+    return docs, counts
 
 
 def divide_skip(sets: list[np.ndarray], labels: np.ndarray, percent: int, asks: np.ndarray | None = None) -> list[tuple[int, int]]:
@@ -202,6 +286,14 @@ def divide_skip(sets: list[np.ndarray], labels: np.ndarray, percent: int, asks:
     ask = None if asks is None else asks[order]
     links = []
     low = np.searchsorted(size * 100, size * percent)
+
+    def alike(x: int, y: int, common: int) -> bool:
+        if 100 * common < percent * (int(size[x]) + int(size[y]) - common):
+            return False
+        joined.join(x, y)
+        links.append((int(order[x]), int(order[y])))
+        return True
+
     for x in range(n):
         nx = int(size[x])
         need = -(-percent * nx // 100)
@@ -222,23 +314,25 @@ def divide_skip(sets: list[np.ndarray], labels: np.ndarray, percent: int, asks:
                 p = p[(p >= low[x]) & (p < x)]
             if len(p):
                 lists.append(p)
+        strangers = lambda p: p[joined.label[p] != joined.label[x]] if ask is None or ask[x] else p[(joined.label[p] != joined.label[x]) & ask[p]]
+        lists = [p for p in map(strangers, lists) if len(p)]
+        while len(lists) >= spare:  # while the nearest of the shortest list is a link, its whole component leaves the lists
+            y = int(min(lists, key=len)[-1])
+            if not alike(x, y, len(np.intersect1d(sets[order[x]], sets[order[y]], assume_unique=True))):
+                break
+            lists = [p for p in map(strangers, lists) if len(p)]
         if len(lists) < spare:
             continue
-        found, counts = merge_counts(lists)
-        keep = counts >= spare
-        if ask is not None and not ask[x]:
-            keep &= ask[found]
         long = mine[by_length[nx - longest :]]
-        for y, c in sorted(zip(found[keep].tolist(), counts[keep].tolist()), key=lambda t: -t[1]):
-            a, b = joined.find(x), joined.find(y)
-            if a == b:
+        for y, c in sorted(zip(*merge_counts(lists)), key=lambda t: -t[1]):
+            if c < spare:
+                break
+            if joined.label[x] == joined.label[y]:
                 continue
             if longest:
                 at = np.minimum(np.searchsorted(probe, long * n + y), len(probe) - 1)
                 c += int((probe[at] == long * n + y).sum())
-            if 100 * c >= percent * (nx + int(size[y]) - c):
-                joined.parent[max(a, b)] = min(a, b)
-                links.append((int(order[x]), int(order[y])))
+            alike(x, y, c)
     return links
 
 
@@ -295,9 +389,7 @@ def join(spark: SparkSession, documents: DataFrame, k: int = 5, percent: int = 8
     """doc_id, n_shingles and component_id of every row of `documents`."""
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     ids = cut(identities(docs, k))
-    sigs = signature_rows(docs, k, percent)
-    shared = sigs.groupBy("sig").agg(F.min("node").alias("centre"), F.count("*").alias("n")).filter("n > 1").select("sig", "centre")
-    near = cut(signature_rows(docs, k, percent).join(shared, "sig").filter("node <> centre").select(F.col("node").alias("u"), F.col("centre").alias("v")).distinct())
+    near = near_pairs(cut(shared_signatures(signature_rows(docs, k, percent))))
     blocks = components(near).withColumnsRenamed({"id": "node", "label": "block"})
     one = ids.filter("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"))
     members = cut(one.join(blocks, "node").withColumn("ask", F.lit(True)))
@@ -311,6 +403,7 @@ def join(spark: SparkSession, documents: DataFrame, k: int = 5, percent: int = 8
     large = large.select("node", "doc_id", "n_shingles", F.xxhash64("block", "at.band").alias("block"), "at.ask")
     members = small.unionByName(large)
     members = cut(members.join(_parts(members, part_rows, part_shingles), "block").withColumn("part", F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts")).cast("int")))
+    docs = only_ids(docs, members)
     texts = docs.join(members.select("doc_id", "node", "block", "part", "ask"), "doc_id")
     links = cut(search(texts.select("block", "part", "node", F.col("node").alias("label"), "ask", "text"), k, percent))
     large = members.filter("parts > 1")
@@ -322,6 +415,30 @@ def join(spark: SparkSession, documents: DataFrame, k: int = 5, percent: int = 8
     return named.join(least, "label", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("least", "doc_id")).alias("component_id"))
 
 
+def only_ids(docs: DataFrame, wanted: DataFrame, bits: int = 25) -> DataFrame:
+    """The rows of `docs` whose id may be among those of `wanted`: fewer texts for the exact join that follows.
+
+    A Bloom filter with a fixed 2**`bits` bits (4 MB), built by the executors, is all that is broadcast.
+    """
+    spark = docs.sparkSession
+    at = F.explode(F.array(*[F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.lit(1 << bits)) for salt in (0, 1)]))
+    words = wanted.select(at.alias("at")).groupBy(F.shiftright("at", 5).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("at").bitwiseAND(31).cast("int"))).alias("bits"))
+    filled = np.zeros(1 << bits - 5, np.uint32)
+    for batch in words.toArrow().to_batches():  # a row for each of 2**(bits - 5) words at most
+        filled[batch.column("word").to_numpy()] = batch.column("bits").to_numpy().astype(np.uint32)
+    shared = spark.sparkContext.broadcast(filled)
+
+    def run(batches):
+        table = shared.value
+        for batch in batches:
+            h = [batch.column(c).to_numpy() for c in ("h0", "h1")]
+            hit = np.logical_and(*[table[x >> 5] >> (x & 31).astype(np.uint32) & 1 for x in h])
+            yield batch.select(["doc_id", "text"]).filter(pa.array(hit))
+
+    hashed = docs.filter("doc_id is not null").withColumns({f"h{salt}": F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.lit(1 << bits)) for salt in (0, 1)})
+    return hashed.select("doc_id", "text", "h0", "h1").mapInArrow(run, "doc_id long, text string")
+
+
 def _parts(members: DataFrame, part_rows: int, part_shingles: int) -> DataFrame:
     """In how many parts each block has to be searched."""
     return members.groupBy("block").agg(F.greatest(F.ceil(F.count("*") / part_rows), F.ceil(F.sum("n_shingles") / part_shingles)).cast("int").alias("parts"))

@@ -16,6 +16,8 @@ from snapdelta.llm import bpe, decontaminate, jaccard_join, quality_gam, quality
 from snapdelta.llm.components import components
 from tests.conftest import DATA
 
+from .conftest import SCHEMA, sentence
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -90,7 +92,44 @@ def test_segments_find_every_similar_pair():
                 b = np.unique(np.concatenate([a[r.permutation(len(a))[cut:]], r.integers(0, 2**63, r.integers(0, n // 8 + 1)).astype(np.uint64)]))
                 both = len(np.intersect1d(a, b))
                 if len(b) and 100 * both >= percent * (len(a) + len(b) - both):
-                    assert set(s.signatures(a).tolist()) & set(s.signatures(b).tolist())
+                    (x, need_x), (y, need_y) = s.signatures(a), s.signatures(b)
+                    both = np.intersect1d(x, y)
+                    enough = lambda sig, need: any((both & np.uint64(127) == band).sum() >= need[sig & np.uint64(127) == band][0] for band in np.unique(both & np.uint64(127)))
+                    assert enough(x, need_x) and enough(y, need_y)
+
+
+def test_merge_counts():
+    lists = [np.array(x) for x in ([1, 2, 9], [2, 3], [2, 9], [7])]
+    assert jaccard_join.merge_counts(lists) == ([1, 2, 3, 7, 9], [1, 3, 1, 1, 2])
+
+
+def test_shared_signatures_over_portions(spark):
+    """Equal signatures meet, whichever portion of a task they were sorted in."""
+    texts = [f"a{i // 3} b{i // 3} c{i // 3} d{i // 3} e{i // 3} f{i % 3}" for i in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    want = None
+    for held in (1, 7, 1 << 20):
+        got = {(r["sig"], r["node"], r["need"]) for r in jaccard_join.shared_signatures(jaccard_join.signature_rows(docs, 3, 50, held)).collect()}
+        want = want or got
+        assert got and got == want
+
+
+def test_jaccard_join_at_five_words_among_common_passages(spark):
+    """Near copies and strangers that share a long passage, in parts and whole, against brute force."""
+    r = random.Random(12)
+    passage = sentence(r, 40)
+    rows = []
+    for i in range(120):
+        own = sentence(r, r.choice([10, 30, 90])).split()
+        for j in range(r.choice([1, 1, 3])):
+            w = list(own)
+            for _ in range(j * r.choice([1, 2])):
+                w[r.randrange(len(w))] = f"new{r.randrange(999)}"
+            rows.append((len(rows), " ".join(w) + (" " + passage if i % 2 else ""), "en", None, 0, None))
+    docs = spark.createDataFrame(rows, SCHEMA)
+    for parts in (4096, 8):
+        got = sorted(map(tuple, jaccard_join.join(spark, docs, part_rows=parts).collect()), key=repr)
+        assert got == brute_components(rows, 5, 80)
 
 
 def test_components(spark):
