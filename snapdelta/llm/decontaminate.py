@@ -13,7 +13,8 @@ Words are lower-cased and lose closing punctuation and symbols. Null or empty te
 hold nothing and leak nothing. Rows without doc_id are searched and returned with a null
 doc_id. Repeated documents and items repeat nothing within one (doc_id, item_id): the best
 place is returned, the first on ties. Empty tables give an empty result; extra columns are
-ignored. Benchmark items go to the tasks in portions of at most `portion` items.
+ignored. Benchmark items go to the driver and the tasks in portions of at most `portion` items
+and `portion_bytes` bytes (or one item), each with a pass over the texts.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import arrow_map, read_table, text_buffer
+from .shared import arrow_map, cut, read_table, text_buffer, without
 from .words import find_words, hash_runs
 
 #: Bits of the hashed words of the latent space and of the full TF-IDF comparison; latent dimensions; words of half a passage.
@@ -35,6 +36,8 @@ BITS, FINE, RANK, BLOCK = 14, 17, 128, 16
 SHORT = 22
 #: Least latent cosine, least TF-IDF cosine, least share of an item and of its end in order.
 CANDIDATE, LIKENESS, SEQUENCE, ANSWER = 0.47, 0.33, 0.7, 0.6
+#: Bytes of text that a task of the sketch takes, where there are more than two tasks for each core.
+SKETCH_BYTES = 128 << 20
 _CLOSING = np.zeros(256, bool)
 _CLOSING[list(b".,;:!?\"')]}#*$%&|<>")] = True
 
@@ -55,34 +58,32 @@ def buckets(h: np.ndarray, bits: int = BITS) -> np.ndarray:
     return (h >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def frequencies(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
-    """In how many documents each coarse and each fine bucket occurs, over all documents, and their number."""
+def frequencies(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, int, int]:
+    """In how many documents each coarse and each fine bucket occurs, over all documents, their number and their bytes."""
 
     def run(batches):
         from .shared import slices
 
-        coarse, fine, n = np.zeros(1 << BITS, np.int64), np.zeros(1 << FINE, np.int64), 0
+        coarse, fine, n, size = np.zeros(1 << BITS, np.int64), np.zeros(1 << FINE, np.int64), 0, 0
         for batch in batches:
             for part in slices(batch, "text"):
                 h, first = terms(part.column("text"))
                 doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
-                order = np.lexsort((buckets(h, FINE), doc)) if len(h) else doc
-                d, f = doc[order], buckets(h, FINE)[order]
-                new = np.ones(len(f), bool)
-                new[1:] = (f[1:] != f[:-1]) | (d[1:] != d[:-1])
-                fine += np.bincount(f[new], minlength=1 << FINE)
-                c = f >> (FINE - BITS)
-                new[1:] = (c[1:] != c[:-1]) | (d[1:] != d[:-1])
-                coarse += np.bincount(c[new], minlength=1 << BITS)
+                key = np.sort(doc << FINE | buckets(h, FINE))
+                if len(key):
+                    fine += np.bincount(key[np.append(True, key[1:] != key[:-1])] & (1 << FINE) - 1, minlength=1 << FINE)
+                    key >>= FINE - BITS
+                    coarse += np.bincount(key[np.append(True, key[1:] != key[:-1])] & (1 << BITS) - 1, minlength=1 << BITS)
+                size += part.nbytes
                 n += part.num_rows
-        total = np.concatenate([[n], coarse, fine])
+        total = np.concatenate([[n, size], coarse, fine])
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"bucket": pa.array(at), "n": pa.array(total[at])})
 
-    total = np.zeros(1 + (1 << BITS) + (1 << FINE), np.int64)
+    total = np.zeros(2 + (1 << BITS) + (1 << FINE), np.int64)
     got = docs.select("text").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()  # a row for each bucket at most
     total[got["bucket"].to_numpy(np.int64)] = got["n"].to_numpy(np.int64)
-    return total[1 : 1 + (1 << BITS)], total[1 + (1 << BITS) :], int(total[0])
+    return total[2 : 2 + (1 << BITS)], total[2 + (1 << BITS) :], int(total[0]), int(total[1])
 
 
 def passages(first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -125,6 +126,38 @@ def passage_vectors(table: np.ndarray, bucket: np.ndarray, first: np.ndarray) ->
     return (vectors[keep], at[keep], np.minimum(at[keep] + 2 * BLOCK, stop[keep]), doc[keep]), (block, at, np.minimum(at + BLOCK, stop), doc)
 
 
+def add_rows(total: np.ndarray, bucket: np.ndarray, rows: np.ndarray, of: np.ndarray, often: int = 16) -> None:
+    """total[bucket[i]] += rows[of[i]] for every i; `of` rises.
+
+    Buckets that occur more than `often` times: their counts in each row times the rows. The
+    others: first occurrences at once, then second ones, and so on.
+    """
+    order = np.argsort(bucket.astype(np.int32), kind="stable")
+    ranked = bucket[order]
+    edge = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1]))
+    times = np.diff(np.append(edge, len(ranked)))
+    rare = np.flatnonzero(times <= often)
+    for j in range(often):
+        e = edge[rare[times[rare] > j]]
+        if len(e) == 0:
+            break
+        total[ranked[e]] += rows[of[order[e + j]]]
+    many = ranked[edge[times > often]]
+    if len(many) == 0:
+        return
+    line = np.full(len(total), -1, np.int64)
+    line[many] = np.arange(len(many))
+    line = line[bucket]
+    at = np.flatnonzero(line >= 0)
+    line, of = line[at], of[at]
+    step = 1024
+    for a in range(0, len(rows), step):
+        lo, hi = np.searchsorted(of, (a, a + step))
+        if lo < hi:
+            counts = np.bincount(line[lo:hi] * step + of[lo:hi] - a, minlength=len(many) * step).reshape(len(many), step).astype(np.float32)
+            total[many] += counts[:, : len(rows) - a] @ rows[a : a + step]
+
+
 def sketch(docs: DataFrame, idf: np.ndarray, omega: np.ndarray) -> np.ndarray:
     """A'(A omega) over all blocks of 16 words of `docs`; the blocks of features are added by Spark."""
     width = 256
@@ -141,13 +174,10 @@ def sketch(docs: DataFrame, idf: np.ndarray, omega: np.ndarray) -> np.ndarray:
                 at, doc, _ = passages(first)
                 if len(at) == 0:
                     continue
-                block = block_sums(table, b, at, first[1:][doc])
-                norm = np.sqrt(np.add.reduceat(idf[b] ** 2, at))[:, None] + 1e-9
-                rows = np.repeat(block / norm**2, np.diff(np.append(at, len(b))), axis=0) * idf[b][:, None]
-                order = np.argsort(b, kind="stable")
-                s = b[order]
-                edge = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
-                total[s[edge]] += np.add.reduceat(rows[order], edge, axis=0)
+                rows = block_sums(table, b, at, first[1:][doc])
+                rows /= np.add.reduceat(idf[b] ** 2, at)[:, None] + 1e-9
+                add_rows(total, b, rows, np.repeat(np.arange(len(at)), np.diff(np.append(at, len(b)))))
+        total *= idf[:, None]
         for k in range(0, 1 << BITS, width):
             yield pa.RecordBatch.from_pydict({"block": pa.array([k], pa.int32()), "sums": pa.array([total[k : k + width].tobytes()], pa.binary())})
 
@@ -213,8 +243,9 @@ class Index:
     words: list[list[int]]
     item: np.ndarray  # item of each passage
     unit: np.ndarray  # latent unit vector of each passage
-    sparse: np.ndarray  # TF-IDF unit vector of each passage, over the fine buckets that any item holds
-    column: np.ndarray  # column of each fine bucket in `sparse`; the last is empty
+    cells: np.ndarray  # passage << FINE | fine bucket, for each bucket of each passage, sorted
+    values: np.ndarray  # TF-IDF of each cell, each passage a unit vector; one 0 more for absent cells
+    held: np.ndarray  # whether any passage holds a fine bucket
     short: np.ndarray  # passages of items of at most SHORT words
 
 
@@ -222,15 +253,17 @@ def build(items: list[tuple[int, str]], latent: np.ndarray, weight: np.ndarray)
     h, first = terms(pa.array([t for _, t in items], pa.string()))
     (vectors, starts, ends, item), _ = passage_vectors(latent, buckets(h), first)
     b = buckets(h, FINE)
-    used = np.unique(b)
-    column = np.full(1 << FINE, len(used), np.int32)
-    column[used] = np.arange(len(used))
-    sparse = np.zeros((len(starts), len(used) + 1), np.float32)
-    for i, (a, z) in enumerate(zip(starts, ends)):
-        np.add.at(sparse[i], column[b[a:z]], weight[b[a:z]])
+    size = ends - starts
+    passage = np.repeat(np.arange(len(starts)), size)
+    word = np.arange(len(passage)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(starts, size)
+    cells, times = np.unique(passage << FINE | b[word], return_counts=True)
+    values = times * weight[cells & (1 << FINE) - 1]
+    norm = np.sqrt(np.bincount(cells >> FINE, values * values, len(starts))) + 1e-12
+    held = np.zeros(1 << FINE, bool)
+    held[b] = True
     words = [h[a:z].tolist() for a, z in zip(first[:-1], first[1:])]
     short = np.flatnonzero(np.diff(first)[item] <= SHORT)
-    return Index(latent, weight, [i for i, _ in items], words, item, _unit(vectors), _unit(sparse), column, short)
+    return Index(latent, weight, [i for i, _ in items], words, item, _unit(vectors), cells, np.append(values / norm[cells >> FINE], 0).astype(np.float32), held, short)
 
 
 def candidates(index: Index, h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -241,7 +274,7 @@ def candidates(index: Index, h: np.ndarray, first: np.ndarray) -> tuple[np.ndarr
     """
     views = passage_vectors(index.latent, buckets(h), first)
     b = buckets(h, FINE)
-    weight, column = index.weight[b], index.column[b]
+    weight, held = index.weight[b], index.held[b]
     out = []
     for (vectors, starts, ends, doc), items in zip(views, (np.arange(len(index.unit)), index.short)):
         unit, against = _unit(vectors), index.unit[items].T
@@ -256,7 +289,11 @@ def candidates(index: Index, h: np.ndarray, first: np.ndarray) -> tuple[np.ndarr
             at = np.minimum(starts + j, len(b) - 1)
             here = np.where(starts + j < ends, weight[at], 0)
             norm += here * here
-            likeness += index.sparse[q, column[at[p]]] * here[p]
+            mine = np.flatnonzero(held[at[p]] & (here[p] > 0))
+            cell = q[mine] << FINE | b[at[p[mine]]]
+            where = np.searchsorted(index.cells, cell)
+            where[index.cells[np.minimum(where, len(index.cells) - 1)] != cell] = len(index.cells)
+            likeness[mine] += index.values[where] * here[p[mine]]
         likeness /= np.sqrt(norm[p]) + 1e-12
         good = likeness >= LIKENESS
         p, q = p[good], q[good]
@@ -307,14 +344,17 @@ def leaks(docs: DataFrame, index: Index) -> DataFrame:
     return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id long, item_id long, common_words long, item_words long, start_word long, cosine double", make)
 
 
-def decontaminate(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, rank: int = RANK, portion: int = 20_000, seed: int = 9) -> DataFrame:
+def decontaminate(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, rank: int = RANK, portion: int = 20_000, portion_bytes: int = 16 << 20, seed: int = 9) -> DataFrame:
     """Every leak of a benchmark item in `docs`, one row for each (doc_id, item_id)."""
-    coarse, fine, n = frequencies(docs)
+    coarse, fine, n, size = frequencies(docs)
     idf, weight = (np.log((1 + n) / (1 + df)).astype(np.float32) + np.float32(0.05) for df in (coarse, fine))
+    # every task of the sketch sends one sum of fixed size, so that tasks should not be smaller than need be
+    tasks = max(2 * spark.sparkContext.defaultParallelism, -(-size // SKETCH_BYTES))
     omega = np.random.default_rng(seed).standard_normal((1 << BITS, rank + 16)).astype(np.float32)
-    latent = latent_words(idf.astype(np.float64), omega.astype(np.float64), sketch(docs, idf, omega), rank)
+    latent = latent_words(idf.astype(np.float64), omega.astype(np.float64), sketch(docs.select("text").coalesce(tasks), idf, omega), rank)
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("item_id is not null and text is not null").distinct()
-    portions = max(1, -(-items.count() // portion))
+    many = items.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
+    portions = max(1, -(-many["n"] // portion), -(-many["bytes"] // portion_bytes))
     out = None
     for k in range(portions):
         rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(portions)) == k).collect()
@@ -329,5 +369,5 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a leak, with the columns of `docs`. Rows without doc_id stay."""
-    found = decontaminate(spark, docs, read_table(spark, sf_dir, "benchmark")).filter("doc_id is not null").select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    found = cut(decontaminate(spark, docs, read_table(spark, sf_dir, "benchmark")).select("doc_id").distinct())
+    return without(docs, found)

@@ -35,11 +35,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import arrow_map, cut, read_table, slices, text_buffer
+from .shared import arrow_map, cut, discard, may_hold, read_table, rewrite, slices, text_buffer, without
 from .words import LOWER, factors, find_words, mix, windows
 
 #: A block above this many documents or shingles is cut into parts.
@@ -150,10 +150,12 @@ def signature_rows(docs: DataFrame, k: int, percent: int, held: int = HELD) -> D
     def flush(sigs: list, needs: list, nodes: list) -> pa.RecordBatch:
         sig, need, node = np.concatenate(sigs), np.concatenate(needs), np.concatenate(nodes)
         order = np.argsort(sig)
-        sig = sig[order]
-        first = np.concatenate([[True], sig[1:] != sig[:-1]])
-        mark = np.where(first, np.where(np.append(first[1:], True), LONE, SHARED), AGAIN).astype(np.int32)
-        return pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(node[order]), pa.array(need[order] * 4 + mark, pa.int32())], schema=schema)
+        ranked = sig[order]
+        first = np.concatenate([[True], ranked[1:] != ranked[:-1]])
+        mark = np.empty(len(sig), np.int32)
+        mark[order] = np.where(first, np.where(np.append(first[1:], True), LONE, SHARED), AGAIN)
+        # in the order of the sets, as rows that repeat a node beside each other are written smaller
+        return pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(node), pa.array(need * 4 + mark, pa.int32())], schema=schema)
 
     def run(batches):
         segments = Segments(percent)
@@ -180,7 +182,7 @@ def signature_rows(docs: DataFrame, k: int, percent: int, held: int = HELD) -> D
 
 
 def shared_signatures(rows: DataFrame) -> DataFrame:
-    """(sig, node, need) of the signatures that two different nodes have.
+    """(sig, node, need) of the signatures that two different nodes have; a row for each portion that holds it.
 
     One row a portion and signature meets the others of its signature; the portion's further rows
     are known to be shared and go anywhere. The rows come sorted, so a task holds one batch.
@@ -211,7 +213,7 @@ def shared_signatures(rows: DataFrame) -> DataFrame:
             yield out(s0, n0, m0, before0 | (m0 & 3 > 0))
 
     key = F.when(F.col("mark").bitwiseAND(3) == AGAIN, F.xxhash64("sig", "node")).otherwise(F.col("sig"))
-    return rows.repartition(key).sortWithinPartitions("sig", "node").mapInArrow(run, "sig long, node long, need int").distinct()
+    return rows.repartition(key).sortWithinPartitions("sig", "node").mapInArrow(run, "sig long, node long, need int")
 
 
 def near_pairs(shared: DataFrame, rounds: int = 2) -> DataFrame:
@@ -221,13 +223,18 @@ def near_pairs(shared: DataFrame, rounds: int = 2) -> DataFrame:
     and again, as others then share fewer.
     """
     band = F.col("sig").bitwiseAND((1 << BAND_BITS) - 1)
+    last = None
     for _ in range(rounds):
-        own = Window.partitionBy("node", band)  # as many rows as one set has segments
-        enough = shared.withColumn("n", F.count("*").over(own)).filter("n >= need").drop("n")
+        own = shared.groupBy("node", band.alias("band")).agg(F.collect_set("sig").alias("sigs"), F.first("need").alias("need"))  # at most as many as one set has segments
+        enough = rewrite(own.filter(F.size("sigs") >= F.col("need")).select("node", "need", F.explode("sigs").alias("sig")), "signatures")
+        if last is not None:
+            discard(last)
+        last = enough
         centres = enough.groupBy("sig").agg(F.min("node").alias("centre"), F.max("node").alias("other")).filter("centre < other").select("sig", "centre")
-        shared = cut(enough.join(centres, "sig").select("sig", "node", "need", "centre"))
-        pairs, shared = shared, shared.drop("centre")
-    return pairs.filter("node <> centre").select(F.col("node").alias("u"), F.col("centre").alias("v")).distinct()
+        shared = enough.join(centres, "sig")
+    pairs = rewrite(shared.filter("node <> centre").select(F.col("node").alias("u"), F.col("centre").alias("v")).distinct(), "pairs")
+    discard(last)
+    return pairs
 
 
 class Joined:
@@ -389,8 +396,7 @@ def join(spark: SparkSession, documents: DataFrame, k: int = 5, percent: int = 8
     """doc_id, n_shingles and component_id of every row of `documents`."""
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     ids = cut(identities(docs, k))
-    near = near_pairs(cut(shared_signatures(signature_rows(docs, k, percent))))
-    blocks = components(near).withColumnsRenamed({"id": "node", "label": "block"})
+    blocks = components(near_pairs(shared_signatures(signature_rows(docs, k, percent)))).withColumnsRenamed({"id": "node", "label": "block"})
     one = ids.filter("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"))
     members = cut(one.join(blocks, "node").withColumn("ask", F.lit(True)))
     members = members.join(_parts(members, part_rows, part_shingles), "block")
@@ -403,7 +409,7 @@ def join(spark: SparkSession, documents: DataFrame, k: int = 5, percent: int = 8
     large = large.select("node", "doc_id", "n_shingles", F.xxhash64("block", "at.band").alias("block"), "at.ask")
     members = small.unionByName(large)
     members = cut(members.join(_parts(members, part_rows, part_shingles), "block").withColumn("part", F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts")).cast("int")))
-    docs = only_ids(docs, members)
+    docs = docs.filter(may_hold(members)(F.col("doc_id")))
     texts = docs.join(members.select("doc_id", "node", "block", "part", "ask"), "doc_id")
     links = cut(search(texts.select("block", "part", "node", F.col("node").alias("label"), "ask", "text"), k, percent))
     large = members.filter("parts > 1")
@@ -415,30 +421,6 @@ def join(spark: SparkSession, documents: DataFrame, k: int = 5, percent: int = 8
     return named.join(least, "label", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("least", "doc_id")).alias("component_id"))
 
 
-def only_ids(docs: DataFrame, wanted: DataFrame, bits: int = 25) -> DataFrame:
-    """The rows of `docs` whose id may be among those of `wanted`: fewer texts for the exact join that follows.
-
-    A Bloom filter with a fixed 2**`bits` bits (4 MB), built by the executors, is all that is broadcast.
-    """
-    spark = docs.sparkSession
-    at = F.explode(F.array(*[F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.lit(1 << bits)) for salt in (0, 1)]))
-    words = wanted.select(at.alias("at")).groupBy(F.shiftright("at", 5).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("at").bitwiseAND(31).cast("int"))).alias("bits"))
-    filled = np.zeros(1 << bits - 5, np.uint32)
-    for batch in words.toArrow().to_batches():  # a row for each of 2**(bits - 5) words at most
-        filled[batch.column("word").to_numpy()] = batch.column("bits").to_numpy().astype(np.uint32)
-    shared = spark.sparkContext.broadcast(filled)
-
-    def run(batches):
-        table = shared.value
-        for batch in batches:
-            h = [batch.column(c).to_numpy() for c in ("h0", "h1")]
-            hit = np.logical_and(*[table[x >> 5] >> (x & 31).astype(np.uint32) & 1 for x in h])
-            yield batch.select(["doc_id", "text"]).filter(pa.array(hit))
-
-    hashed = docs.filter("doc_id is not null").withColumns({f"h{salt}": F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.lit(1 << bits)) for salt in (0, 1)})
-    return hashed.select("doc_id", "text", "h0", "h1").mapInArrow(run, "doc_id long, text string")
-
-
 def _parts(members: DataFrame, part_rows: int, part_shingles: int) -> DataFrame:
     """In how many parts each block has to be searched."""
     return members.groupBy("block").agg(F.greatest(F.ceil(F.count("*") / part_rows), F.ceil(F.sum("n_shingles") / part_shingles)).cast("int").alias("parts"))
@@ -468,7 +450,6 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component stays: that of the smallest doc_id. Rows without id stay."""
-    named = join(spark, docs)
-    stay = named.filter("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(stay, "doc_id", "left_semi").unionByName(docs.filter("doc_id is null"))
-    return kept.select(*docs.columns)
+    named = join(spark, docs).filter("doc_id is not null")
+    gone = named.groupBy("doc_id").agg(F.bool_or(F.col("doc_id") == F.col("component_id")).alias("stays")).filter("not stays")
+    return without(docs, cut(gone.select("doc_id")))

@@ -13,9 +13,10 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy pass takes.
@@ -60,6 +61,41 @@ def discard(df: DataFrame) -> None:
     path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+BLOOM_BITS = 25
+
+
+def may_hold(ids: DataFrame, name: str = "doc_id") -> Callable[[Column], Column]:
+    """A condition that holds for every id of `ids` and for few others: it spares most rows the exact join that follows.
+
+    A Bloom filter with a fixed 2**BLOOM_BITS bits (4 MB) is built by the executors and is all
+    that the driver gets and broadcasts. With far more ids it lets all rows pass, which costs
+    time and changes no result. Null is False.
+    """
+    spark = ids.sparkSession
+    places = lambda c: [F.pmod(F.xxhash64(c.cast("long"), F.lit(salt)), F.lit(1 << BLOOM_BITS)) for salt in (0, 1)]
+    at = ids.filter(F.col(name).isNotNull()).select(F.explode(F.array(*places(F.col(name)))).alias("at"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("at").bitwiseAND(31).cast("int"))
+    words = at.groupBy(F.shiftright("at", 5).alias("word")).agg(F.bit_or(bit).alias("bits"))
+    filled = np.zeros(1 << BLOOM_BITS - 5, np.uint32)
+    for batch in words.toArrow().to_batches():  # a row for each of 2**(BLOOM_BITS - 5) words at most
+        filled[batch.column("word").to_numpy()] = batch.column("bits").to_numpy().astype(np.uint32)
+    shared = spark.sparkContext.broadcast(filled)
+
+    @F.pandas_udf("boolean")
+    def hit(first: pd.Series, second: pd.Series) -> pd.Series:
+        got = [shared.value[x >> 5] >> (x & 31).astype(np.uint32) & 1 for x in (first.to_numpy(), second.to_numpy())]
+        return pd.Series((got[0] & got[1]).astype(bool))
+
+    return lambda c: c.isNotNull() & hit(*places(F.coalesce(c, F.lit(0))))
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of `docs` whose doc_id is not among the non-null doc_id of `ids`; only rows that the filter can't clear are joined."""
+    suspect = may_hold(ids)(F.col("doc_id"))
+    some, gone = docs.filter(suspect), ids.filter("doc_id is not null").select(F.col("doc_id").alias("gone")).distinct()
+    return docs.filter(~suspect).union(some.join(gone, some["doc_id"].cast("long") == gone["gone"], "left_anti"))
+
+
 def fanout(spark: SparkSession) -> int:
     """Partitions that the session deals shuffles into."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from snapdelta.llm import bpe, decontaminate, jaccard_join, quality_gam, quality_rules, secrets, sharding, stats, substring_dedup, token_shards, toxicity
 from snapdelta.llm.components import components
+from snapdelta.llm.shared import without
 from tests.conftest import DATA
 
 from .conftest import SCHEMA, sentence
@@ -533,3 +534,14 @@ def test_pipeline_stages(spark, tables):
     assert quality_gam.stage(spark, docs, tables).columns == docs.columns
     out = corpus_pipeline.run(spark, tables)
     assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and out.count() > 0
+
+
+def test_without(spark, docs, nothing):
+    """Exact for any ids, with nulls, repeated rows and clashing names."""
+    named = docs.withColumn("gone", F.lit(1))
+    every = named.count()
+    gone = spark.createDataFrame([(3,), (3,), (8,), (None,), (999,)], "doc_id long")
+    got = without(named, gone)
+    assert got.columns == named.columns and got.filter("doc_id in (3, 8)").count() == 0
+    assert got.count() == every - named.filter("doc_id in (3, 8)").count()
+    assert without(named, gone.limit(0)).count() == every and without(nothing, gone).count() == 0
