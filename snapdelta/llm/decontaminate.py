@@ -38,6 +38,8 @@ SHORT = 22
 CANDIDATE, LIKENESS, SEQUENCE, ANSWER = 0.47, 0.33, 0.7, 0.6
 #: Bytes of text that a task of the sketch takes, where there are more than two tasks for each core.
 SKETCH_BYTES = 128 << 20
+#: Bytes of text whose vectors stay in a processor's cache.
+CACHED = 1 << 18
 _CLOSING = np.zeros(256, bool)
 _CLOSING[list(b".,;:!?\"')]}#*$%&|<>")] = True
 
@@ -126,7 +128,7 @@ def passage_vectors(table: np.ndarray, bucket: np.ndarray, first: np.ndarray) ->
     return (vectors[keep], at[keep], np.minimum(at[keep] + 2 * BLOCK, stop[keep]), doc[keep]), (block, at, np.minimum(at + BLOCK, stop), doc)
 
 
-def add_rows(total: np.ndarray, bucket: np.ndarray, rows: np.ndarray, of: np.ndarray, often: int = 16) -> None:
+def add_rows(total: np.ndarray, bucket: np.ndarray, rows: np.ndarray, of: np.ndarray, often: int = 32) -> None:
     """total[bucket[i]] += rows[of[i]] for every i; `of` rises.
 
     Buckets that occur more than `often` times: their counts in each row times the rows. The
@@ -168,7 +170,7 @@ def sketch(docs: DataFrame, idf: np.ndarray, omega: np.ndarray) -> np.ndarray:
         total = np.zeros((1 << BITS, omega.shape[1]), np.float32)
         table = (omega * idf[:, None]).astype(np.float32)
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", CACHED):
                 h, first = terms(part.column("text"))
                 b = buckets(h)
                 at, doc, _ = passages(first)
@@ -341,7 +343,7 @@ def leaks(docs: DataFrame, index: Index) -> DataFrame:
 
         return work
 
-    return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id long, item_id long, common_words long, item_words long, start_word long, cosine double", make)
+    return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id long, item_id long, common_words long, item_words long, start_word long, cosine double", make, limit=CACHED)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, rank: int = RANK, portion: int = 20_000, portion_bytes: int = 16 << 20, seed: int = 9) -> DataFrame:
