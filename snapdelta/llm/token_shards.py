@@ -1,38 +1,44 @@
 """Token-ID output: sequences of equal length in training order, in shards of fixed stride.
 
-Each text is encoded, closed by an end mark and cut into sequences of `length` ids; the last
-one of a text is filled with end marks. The encoded table is written to the shared folder, where
-every sequence has a fixed place; counts of its parts give the place a dense number. A keyed
-Feistel network permutes these numbers: it permutes the next power of four, and cycle-walking
-applies it again until the number is below the total. So any task can compute any slot with no
-table and no sort. Rows then go by range of shard; a shard is `stride` sequences, each of the
-same number of bytes, so slot s lies at byte (s mod stride) * length * width of its shard and a
-reader can start anywhere. Tasks write the shards as files into the shared folder, and the query's
-tokens are read back from these files.
+Each text is encoded, closed by an end mark and cut into sequences of `length` ids; the last one
+of a text is filled with end marks. A sequence's number (its partition and its place there) goes
+through a keyed Feistel network: it permutes the next power of four, and cycle-walking applies it
+again until the number is below DOMAIN. So every task computes positions without a table, and no
+two are the same. Positions are dealt by range, the one exchange of the tokens; each range counts
+what it got, and a sequence's slot is its range's base and its rank there. A shard is `stride`
+sequences of the same number of bytes, so slot s lies at byte (s mod stride) * length * width of
+its shard and a reader can start anywhere. A task writes its range at its place in the shards, in
+the shared folder; `export` adds an index (slot, doc_id, seq, n_tokens) and a manifest with the
+key, the sizes and a digest, and returns rows whose tokens are read back from the shards.
 
 Null and empty texts give one sequence of end marks. Repeated rows give a sequence each; a null
 doc_id stays null; an empty table gives no sequence. Extra columns are ignored. The slots depend
-on the key and on the encoded table, which is written once and may be kept.
+on the key and on where rows lie in `docs`, which should be a stored table: a task that is run
+again must meet its rows in the same order. Ids take 16 bits, or 32 where the ranks need them.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import uuid
+from collections.abc import Iterator
 from urllib.parse import unquote, urlparse
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import codec, default_ranks
-from .jaccard_join import by_group
-from .shared import arrow_map, cut, ensure_checkpoint_dir, read_table, text_buffer
+from .shared import arrow_map, ensure_checkpoint_dir, fanout, read_table, text_buffer
 from .words import mix
 
 LENGTH, STRIDE, END_ID = 256, 4096, 50256
+#: Numbers of sequences (2**33 for each partition) are below this, and so are their positions.
+DOMAIN = 10**18
+ROWS = "slot long, shard int, place int, doc_id long, seq int, n_tokens int, tokens binary"
 
 
 def feistel(numbers: np.ndarray, total: int, key: int, rounds: int = 6) -> np.ndarray:
@@ -54,119 +60,196 @@ def feistel(numbers: np.ndarray, total: int, key: int, rounds: int = 6) -> np.nd
     return out.astype(np.int64)
 
 
-def sequences(docs: DataFrame, length: int = LENGTH, end_id: int = END_ID, path: str | None = None) -> DataFrame:
-    """doc_id, seq (from 0), n_tokens (without filling, with the end mark) and tokens (little-endian 16 bits)."""
+def id_kind(path: str | None = None, end_id: int = END_ID) -> str:
+    """Little-endian integers that hold every id of the ranks."""
+    return "<u2" if max(len(codec(path or default_ranks()).bytes_of) - 1, end_id) < 1 << 16 else "<u4"
+
+
+def sequences(docs: DataFrame, key: int = 7, length: int = LENGTH, end_id: int = END_ID, path: str | None = None) -> DataFrame:
+    """position, doc_id, seq (from 0), n_tokens (without filling, with the end mark) and tokens."""
     path = path or default_ranks()
 
     def make():
+        kind = id_kind(path, end_id)
+        width = np.dtype(kind).itemsize
+        context = TaskContext.get()
+        done = (context.partitionId() if context else 0) << 33
+
         def work(part):
+            nonlocal done
             ids, first = codec(path).encode(*text_buffer(part.column("text")))
             counts = np.diff(first)
             n = (counts + length) // length  # counts + 1 ids, rounded up
             doc = np.repeat(np.arange(len(counts)), n)
             seq = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
-            flat = np.full(len(doc) * length, end_id, "<u2")
+            flat = np.full(len(doc) * length, end_id, kind)
             base = (np.cumsum(n) - n) * length
             flat[np.arange(len(ids)) + np.repeat(base - first[:-1], counts)] = ids
-            bounds = np.arange(len(doc) + 1, dtype=np.int32) * (2 * length)
+            bounds = np.arange(len(doc) + 1, dtype=np.int32) * (width * length)
             tokens = pa.Array.from_buffers(pa.binary(), len(doc), [None, pa.py_buffer(bounds), pa.py_buffer(flat.tobytes())])
-            return {"doc_id": part.column("doc_id").take(pa.array(doc)), "seq": seq, "n_tokens": np.minimum(length, counts[doc] + 1 - seq * length), "tokens": tokens}
+            position = feistel(done + np.arange(len(doc)), DOMAIN, key)
+            done += len(doc)
+            return {"position": position, "doc_id": part.column("doc_id").take(pa.array(doc)), "seq": seq, "n_tokens": np.minimum(length, counts[doc] + 1 - seq * length), "tokens": tokens}
 
         return work
 
-    return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id long, seq int, n_tokens int, tokens binary", make)
+    return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "position long, doc_id long, seq int, n_tokens int, tokens binary", make)
 
 
-def place(docs: DataFrame, key: int = 7, length: int = LENGTH, stride: int = STRIDE, path: str | None = None) -> tuple[DataFrame, int]:
-    """slot, shard, place, doc_id, seq, n_tokens and tokens of every sequence, where they were encoded; and their number."""
-    written = cut(sequences(docs, length, path=path)).withColumn("at", F.monotonically_increasing_id())
-    part = F.shiftright("at", 33)
-    counts = written.groupBy(part.alias("part")).count().orderBy("part").collect()  # a row for each partition
-    total = sum(r["count"] for r in counts)
-    bases = np.zeros((counts[-1]["part"] if counts else 0) + 1, np.int64)
-    done = 0
-    for r in counts:
-        bases[r["part"]] = done
-        done += r["count"]
+def ranges(docs: DataFrame, key: int, length: int, path: str | None) -> DataFrame:
+    """Sequences by range of position, in order, each with the first slot and the digest of its range."""
+    many = 4 * fanout(docs.sparkSession)
+    dealt = sequences(docs, key, length, path=path).withColumn("range", F.floor(F.col("position") / (DOMAIN / many)).cast("int")).repartition("range")
+    # the digest needs every column, so that Spark counts and writes from the same exchange
+    counts = dealt.groupBy("range").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("position", "doc_id", "seq", "n_tokens", "tokens")).alias("digest"))
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    bases = counts.select("range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"), "digest")
+    return dealt.join(F.broadcast(bases), "range").sortWithinPartitions("range", "position")
 
-    @F.pandas_udf("long")
-    def slot(at: pd.Series) -> pd.Series:
-        x = at.to_numpy()
-        return pd.Series(feistel(bases[x >> 33] + (x & ((1 << 33) - 1)), total, key))
 
-    placed = written.withColumn("slot", slot("at")).drop("at").withColumns({"shard": F.floor(F.col("slot") / stride).cast("int"), "place": (F.col("slot") % stride).cast("int")})
-    return placed.select("slot", "shard", "place", "doc_id", "seq", "n_tokens", "tokens"), total
+def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, pa.RecordBatch]]:
+    """Slots of the rows of `ranges`, batch by batch."""
+    last, done = None, 0
+    for batch in batches:
+        if batch.num_rows == 0:
+            continue
+        of = batch.column("range").to_numpy()
+        new = np.append(True, of[1:] != of[:-1])
+        start = np.flatnonzero(new)
+        rank = np.arange(len(of)) - np.repeat(start, np.diff(np.append(start, len(of))))
+        if of[0] == last:
+            rank[of == last] += done
+        last, done = of[-1], int(rank[-1]) + 1
+        yield batch.column("base").to_numpy() + rank, batch
 
 
 def materialise(spark: SparkSession, docs: DataFrame, key: int = 7, length: int = LENGTH, stride: int = STRIDE, path: str | None = None) -> DataFrame:
-    """The rows of `place` by range of shard, in order."""
-    return place(docs, key, length, stride, path)[0].repartitionByRange("shard").sortWithinPartitions("slot")
+    """slot, shard, place, doc_id, seq, n_tokens and tokens of every sequence; partitions hold runs of slots, in order."""
 
+    def run(batches):
+        for slot, batch in numbered(batches):
+            columns = {"slot": pa.array(slot), "shard": pa.array((slot // stride).astype(np.int32)), "place": pa.array((slot % stride).astype(np.int32))}
+            yield pa.RecordBatch.from_pydict(columns | {c: batch.column(c) for c in ("doc_id", "seq", "n_tokens", "tokens")})
 
-def write_shards(placed: DataFrame, folder: str, rows: bool = False) -> DataFrame:
-    """Writes shard-<n>.bin below `folder`, a path that all executors share; returns shard, sequences, bytes.
+    return ranges(docs, key, length, path).mapInArrow(run, ROWS)
+
+
+def shard_file(folder: str, shard: int) -> str:
+    return os.path.join(folder, f"shard-{shard:08d}.bin")
+
+
+def runs(shard: np.ndarray, place: np.ndarray) -> list[tuple[int, int]]:
+    """Bounds of the runs of neighbouring places of one shard."""
+    edge = np.flatnonzero((shard[1:] != shard[:-1]) | (place[1:] != place[:-1] + 1)) + 1
+    return list(zip([0, *edge.tolist()], [*edge.tolist(), len(shard)]))
 
-    With `rows` it returns the rows of `placed`, their tokens read back from the files. A shard is
-    written under another name and then renamed, and one that holds the same bytes is not written
-    again; so a task that is repeated, or a job that resumes, does no harm, and shards of other
-    data are replaced. Shards come sorted, and a task holds one shard at a time.
-    """
-    names = ["slot", "shard", "place", "doc_id", "seq", "n_tokens", "tokens"]
+
+def put(folder: str, shard: np.ndarray, place: np.ndarray, tokens: pa.Array) -> None:
+    """Writes sequences at their places. Writing them again, or beside other tasks, does no harm; equal bytes are left alone."""
+    data, offsets = text_buffer(tokens)
+    os.makedirs(folder, exist_ok=True)
+    for a, b in runs(shard, place):
+        raw, at = data[offsets[a] : offsets[b]].tobytes(), int(place[a]) * int(offsets[1])
+        file = os.open(shard_file(folder, int(shard[a])), os.O_RDWR | os.O_CREAT, 0o644)
+        try:
+            if os.pread(file, len(raw), at) != raw:
+                done = 0
+                while done < len(raw):
+                    done += os.pwrite(file, raw[done:], at + done)
+        finally:
+            os.close(file)
+
+
+def get(folder: str, shard: np.ndarray, place: np.ndarray, width: int) -> pa.Array:
+    """Tokens of the places, `width` bytes each, from the shards."""
+    out = []
+    for a, b in runs(shard, place):
+        with open(shard_file(folder, int(shard[a])), "rb") as f:
+            f.seek(int(place[a]) * width)
+            out.append(f.read((b - a) * width))
+    raw = b"".join(out)
+    if len(raw) != len(shard) * width:
+        raise OSError(f"shards in {folder} hold {len(raw)} of {len(shard) * width} bytes")
+    return pa.Array.from_buffers(pa.binary(), len(shard), [None, pa.py_buffer(np.arange(len(shard) + 1, dtype=np.int32) * width), pa.py_buffer(raw)])
+
+
+def write_shards(placed: DataFrame, folder: str) -> DataFrame:
+    """Writes rows with shard, place and tokens as shard-<n>.bin below `folder`, a path that all executors share; returns shard, sequences, bytes."""
 
     def run(batches):
-        os.makedirs(folder, exist_ok=True)
-        for group in by_group(batches, ["shard"]):
-            shard, n = group.column("shard")[0].as_py(), group.num_rows
-            data, offsets = text_buffer(pa.concat_arrays(group.column("tokens").chunks))
-            target = os.path.join(folder, f"shard-{shard:08d}.bin")
-            if not (os.path.exists(target) and np.array_equal(np.fromfile(target, np.uint8), data)):
-                other = f"{target}.{uuid.uuid4().hex}"
-                data.tofile(other)
-                os.replace(other, target)
-            if not rows:
-                yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "sequences": pa.array([n], pa.int64()), "bytes": pa.array([len(data)], pa.int64())})
-                continue
-            with open(target, "rb") as f:
-                raw = f.read()
-            if len(raw) != len(data):
-                raise OSError(f"{target} has {len(raw)} bytes, not {len(data)}")
-            tokens = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(raw)])
-            yield from group.select(names[:-1]).append_column("tokens", tokens).combine_chunks().to_batches()
-
-    columns, out = (names, placed.select(names).schema) if rows else (["slot", "shard", "tokens"], "shard int, sequences long, bytes long")
-    return placed.select(columns).repartitionByRange("shard").sortWithinPartitions("shard", "slot").mapInArrow(run, out)
+        for batch in batches:
+            if batch.num_rows:
+                put(folder, batch.column("shard").to_numpy(), batch.column("place").to_numpy(), batch.column("tokens"))
+                yield pa.RecordBatch.from_pydict({"shard": batch.column("shard"), "bytes": pa.array(np.diff(text_buffer(batch.column("tokens"))[1]))})
+
+    written = placed.select("shard", "place", "tokens").sortWithinPartitions("shard", "place").mapInArrow(run, "shard int, bytes long")
+    return written.groupBy("shard").agg(F.count("*").alias("sequences"), F.sum("bytes").alias("bytes"))
 
 
 def export(docs: DataFrame, folder: str, key: int = 7, length: int = LENGTH, stride: int = STRIDE, path: str | None = None) -> DataFrame:
-    """Shards of `docs` in `folder`, written when the rows are asked for; shards of an earlier, longer table are removed."""
-    placed, total = place(docs, key, length, stride, path)
-    for name in os.listdir(folder) if os.path.isdir(folder) else []:
-        if name.startswith("shard-") and name.endswith(".bin") and int(name[6:-4]) >= -(-total // stride):
-            os.remove(os.path.join(folder, name))
-    return write_shards(placed, folder, rows=True)
+    """Writes the shards of `docs` to `folder` with an index and a manifest; the rows of `materialise`, read back from there.
+
+    What an earlier run left in the folder is replaced, cut or removed; the manifest goes first and
+    comes back last, so a folder without one is not whole.
+    """
+    spark = docs.sparkSession
+    manifest, index = os.path.join(folder, "manifest.json"), f"file://{folder}/index"
+    if os.path.exists(manifest):
+        os.remove(manifest)
+
+    def write(batches):
+        for slot, batch in numbered(batches):
+            put(folder, slot // stride, slot % stride, batch.column("tokens"))
+            yield pa.RecordBatch.from_pydict({"slot": pa.array(slot)} | {c: batch.column(c) for c in ("doc_id", "seq", "n_tokens", "range", "digest")})
+
+    ranges(docs, key, length, path).mapInArrow(write, "slot long, doc_id long, seq int, n_tokens int, range int, digest long").write.mode("overwrite").parquet(index)
+    rows = spark.read.schema("slot long, doc_id long, seq int, n_tokens int, range int, digest long").parquet(index)
+    total = rows.count()
+    digest = rows.groupBy("range").agg(F.first("digest").alias("digest")).agg(F.bit_xor("digest")).first()[0]
+    kind = id_kind(path)
+    width = length * np.dtype(kind).itemsize
+    os.makedirs(folder, exist_ok=True)
+    for name in os.listdir(folder):
+        if name.startswith("shard-") and name.endswith(".bin"):
+            left = min(stride, total - int(name[6:-4]) * stride)
+            if left <= 0:
+                os.remove(os.path.join(folder, name))
+            elif left < stride:
+                os.truncate(os.path.join(folder, name), left * width)
+    with open(f"{manifest}.new", "w") as f:
+        json.dump({"key": key, "length": length, "stride": stride, "ids": kind, "sequences": total, "digest": digest}, f)
+    os.replace(f"{manifest}.new", manifest)
+
+    def read(batches):
+        for batch in batches:
+            if batch.num_rows:
+                slot = batch.column("slot").to_numpy()
+                columns = {"slot": batch.column("slot"), "shard": pa.array((slot // stride).astype(np.int32)), "place": pa.array((slot % stride).astype(np.int32))}
+                yield pa.RecordBatch.from_pydict(columns | {c: batch.column(c) for c in ("doc_id", "seq", "n_tokens")} | {"tokens": get(folder, slot // stride, slot % stride, width)})
+
+    return rows.select("slot", "doc_id", "seq", "n_tokens").mapInArrow(read, ROWS)
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new path below the checkpoint folder, which the driver and all executors share as files."""
-    ensure_checkpoint_dir(spark)
-    url = urlparse(spark.sparkContext._jsc.sc().getCheckpointDir().get())
+    url = urlparse(ensure_checkpoint_dir(spark))
     if url.scheme not in ("", "file"):
         raise ValueError(f"shards need a shared folder of files, not {url.scheme}")
     return os.path.join(unquote(url.path), f"{name}-{uuid.uuid4().hex}")
 
 
-def read_slots(folder: str, start: int, count: int, length: int = LENGTH, stride: int = STRIDE) -> np.ndarray:
+def read_slots(folder: str, start: int, count: int, length: int = LENGTH, stride: int = STRIDE, kind: str = "<u2") -> np.ndarray:
     """`count` sequences from slot `start` on, by seeking in the shards; fewer at the end."""
-    out, width = [], 2 * length
-    while count > 0 and os.path.exists(file := os.path.join(folder, f"shard-{start // stride:08d}.bin")):
+    out, width = [], np.dtype(kind).itemsize * length
+    while count > 0 and os.path.exists(file := shard_file(folder, start // stride)):
         with open(file, "rb") as f:
             f.seek(start % stride * width)
             raw = f.read(min(count, stride - start % stride) * width)
         if not raw:
             break
-        out.append(np.frombuffer(raw, "<u2").reshape(-1, length))
+        out.append(np.frombuffer(raw, kind).reshape(-1, length))
         start, count = start + len(out[-1]), count - len(out[-1])
-    return np.concatenate(out) if out else np.zeros((0, length), "<u2")
+    return np.concatenate(out) if out else np.zeros((0, length), kind)
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import json
 import os
 import random
 import re
@@ -248,6 +249,22 @@ def test_token_shards_query_writes_what_it_returns(spark, docs, tables, tmp_path
     assert [x.tobytes() for x in read] == [bytes(r["tokens"]) for r in got] and [r["slot"] for r in got] == list(range(len(got)))
 
 
+def test_token_shards_manifest_and_one_encoding(spark, docs, tmp_path):
+    """Counts and tokens come from one exchange; the manifest tells runs apart and is missing while one goes on."""
+    seen = []
+    for key in (1, 2, 1):
+        token_shards.export(docs, str(tmp_path / "x"), key=key, length=16, stride=8)
+        seen.append(json.load(open(tmp_path / "x" / "manifest.json")))
+    assert seen[0] == seen[2] != seen[1] and seen[0]["sequences"] == seen[1]["sequences"] == token_shards.materialise(spark, docs, length=16).count()
+    df = token_shards.materialise(spark, docs, length=16)
+    df.collect()
+    assert df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("ReusedExchange") == 1
+
+
+def test_token_shards_wide_ids():
+    assert token_shards.id_kind() == "<u2" and token_shards.id_kind(end_id=1 << 16) == "<u4"
+
+
 def test_token_shards_into_a_used_folder(spark, docs, nothing, tmp_path):
     folder, at = str(tmp_path / "used"), {"length": 16, "stride": 8}
     for df, key in ((docs, 1), (docs, 2), (docs.filter("doc_id < 5"), 2)):  # other data of the same sizes, then fewer shards
