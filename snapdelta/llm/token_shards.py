@@ -104,7 +104,8 @@ def ranges(docs: DataFrame, key: int, length: int, path: str | None) -> DataFram
     counts = dealt.groupBy("range").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("position", "doc_id", "seq", "n_tokens", "tokens")).alias("digest"))
     before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
     bases = counts.select("range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"), "digest")
-    return dealt.join(F.broadcast(bases), "range").sortWithinPartitions("range", "position")
+    # a left join, as an inner one would filter null ranges below one of the two exchanges, which would then differ
+    return dealt.join(F.broadcast(bases), "range", "left").sortWithinPartitions("range", "position")
 
 
 def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, pa.RecordBatch]]:

@@ -249,16 +249,17 @@ def test_token_shards_query_writes_what_it_returns(spark, docs, tables, tmp_path
     assert [x.tobytes() for x in read] == [bytes(r["tokens"]) for r in got] and [r["slot"] for r in got] == list(range(len(got)))
 
 
-def test_token_shards_manifest_and_one_encoding(spark, docs, tmp_path):
+def test_token_shards_manifest_and_one_encoding(spark, docs, tables, tmp_path):
     """Counts and tokens come from one exchange; the manifest tells runs apart and is missing while one goes on."""
     seen = []
     for key in (1, 2, 1):
         token_shards.export(docs, str(tmp_path / "x"), key=key, length=16, stride=8)
         seen.append(json.load(open(tmp_path / "x" / "manifest.json")))
     assert seen[0] == seen[2] != seen[1] and seen[0]["sequences"] == seen[1]["sequences"] == token_shards.materialise(spark, docs, length=16).count()
-    df = token_shards.materialise(spark, docs, length=16)
+    df = token_shards.materialise(spark, spark.read.parquet(f"{tables}/documents.parquet"), length=16)
     df.collect()
-    assert df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("ReusedExchange") == 1
+    plan = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("ReusedExchange") == 1 and plan.count("FileScan") == 1
 
 
 def test_token_shards_wide_ids():
