@@ -1,18 +1,21 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest.
 
 All of it is DataFrame and SQL work on the executors. A candidate is a value of a known form or
-one assigned to a name with a secret word anywhere in it (DB_PASSWORD, apiToken). Its features are its length, the transitions between
-kinds of characters and between neighbouring letters, how much of it a dictionary covers, its
-path (the source column) and the words beside it. The forest is fitted with Spark's own trees
-on labelled findings, which rules write from counters: real keys of several forms, and the
-usual false alarms (placeholders, words, versions, digests, identifiers, paths, test data).
-
-Places count code points from 1. Null and empty texts have no candidates; a null source is an
-unknown path. Candidates that lie in one another are one, the leftmost and longest form.
-A value has no upper length; a PEM block goes from BEGIN to END, or to the end of its lines where END is missing.
-Repeated rows repeat their findings; rows without doc_id are scanned as well. An empty table
-gives an empty result; extra columns are ignored, and clashing names do no harm, as only the
-columns doc_id, text and source are read.
+one assigned to a name with a secret word anywhere in it (DB_PASSWORD, apiToken). Its features are
+its length, the transitions between kinds of characters and between neighbouring letters, how much
+of it a dictionary covers, its path (the source column) and the words beside it. The dictionary is
+the most frequent words of all documents, and words that fill placeholders. The forest is fitted
+with Spark's own trees on labelled findings, which rules write from counters: real keys of several
+forms, and the usual false alarms (placeholders, words, versions, digests, identifiers, paths, test
+data).
+
+Places come from the matches themselves: a text is split at them, and the lengths of the pieces
+are summed. They count code points from 1. Null and empty texts have no candidates; a null source
+is an unknown path. Candidates that lie in one another are one, the leftmost and longest form. A
+value has no upper length; a PEM block goes from BEGIN to END, or to the end of its lines where END
+is missing. Repeated rows repeat their findings; rows without doc_id are scanned as well. An empty
+table gives an empty result; extra columns are ignored, and clashing names do no harm, as only the
+columns doc_id, text and source are read. The query returns digests of the values, not the values.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from pyspark.ml import PipelineModel
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .shared import cut, read_table
@@ -35,16 +38,15 @@ NAME = rf"""(?i:(?<![A-Za-z0-9_.-])(?=[A-Za-z0-9_.-]++{ASSIGN})(?>[A-Za-z0-9_.-]
 #: The forms of candidates, tried in this order at each place. Each goes to the natural end of its value.
 FORMS = (
     r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----(?:(?:[^-]*-(?!----)){0,256}+[^-]*-----END [A-Z ]{0,20}PRIVATE KEY-----|(?:(?:\s|\\[nr]){1,8}[A-Za-z0-9+/=]{16,}){0,256}+)",
-    r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b",
-    r"\bgh[pousr]_[A-Za-z0-9]{36,}\b",
-    r"\bxox[abprs]-[A-Za-z0-9-]{10,}",
-    r"\bAIza[0-9A-Za-z_\-]{35,}",
-    r"\bsk_(?:live|test)_[A-Za-z0-9]{16,}",
-    r"\beyJ[A-Za-z0-9_\-]{8,}\.eyJ[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}",
+    r"\b(?:" + "|".join((
+        r"(?:AKIA|ASIA)[0-9A-Z]{16}\b", r"gh[pousr]_[A-Za-z0-9]{36,}\b", r"github_pat_[A-Za-z0-9_]{22,}", r"glpat-[A-Za-z0-9_\-]{20,}", r"npm_[A-Za-z0-9]{36,}", r"pypi-[A-Za-z0-9_\-]{40,}", r"hf_[A-Za-z0-9]{30,}",
+        r"xox[abprs]-[A-Za-z0-9-]{10,}", r"AIza[0-9A-Za-z_\-]{35,}", r"[rs]k_(?:live|test)_[A-Za-z0-9]{16,}", r"SG\.[A-Za-z0-9_\-]{16,}\.[A-Za-z0-9_\-]{16,}",
+        r"eyJ[A-Za-z0-9_\-]{8,}\.eyJ[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}",
+    )) + ")",
     NAME + r"""(?!-----BEGIN )[^\s"'`,;<>]{8,}""",
 )
 PATTERN = "|".join(FORMS)
-#: Words that a dictionary would hold and that fill placeholders and identifiers.
+#: Words that fill placeholders and identifiers; the dictionary has them beside the words of the corpus.
 DICTIONARY = (
     "password passwd secret token example sample change changeme default your insert replace here test dummy fake demo null none true false undefined config "
     "string value name user admin root local host server client access private public service account database connection production development version "
@@ -53,6 +55,8 @@ DICTIONARY = (
 #: Words beside a finding that speak for another meaning.
 OTHER_WORDS = "commit sha1 sha256 md5 checksum digest hash uuid revision integrity fingerprint example sample placeholder dummy fake test docs".split()
 NEAR = 48
+#: Letters of a dictionary word; words that the dictionary takes from the corpus.
+SHORTEST, LONGEST, WORDS = 4, 12, 20_000
 
 FEATURES = ("chars", "digit_share", "upper_share", "symbol_share", "kind_changes", "vowel_changes", "rare_pairs", "distinct_share", "dictionary_share", "hex", "known_form", "secret_word", "other_word", "test_path", "run_share", "quoted")
 
@@ -61,8 +65,28 @@ def _count(c: Column, pattern: str) -> Column:
     return F.regexp_count(c, F.lit(pattern)).cast("double")
 
 
-def with_features(found: DataFrame) -> DataFrame:
-    """Adds FEATURES to rows with value, assigned (whether a name precedes it), before, after, source."""
+def dictionary(docs: DataFrame, most: int = WORDS) -> DataFrame:
+    """word: the `most` words of 4 to 12 letters a-z that the most documents hold, two at least; counted over all whole texts."""
+    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(rf"(?<![a-z0-9_])[a-z]{{{SHORTEST},{LONGEST}}}(?![a-z0-9_])"), F.lit(0)))
+    counts = docs.select(F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("n")).filter("n > 1")
+    return cut(counts.orderBy(F.desc("n"), "word").limit(most).select("word"))
+
+
+def covered(found: DataFrame, words: DataFrame) -> DataFrame:
+    """`found` (a stored table) with `letters`: how many letters of a value lie in words of the dictionary, of at most WORDS rows."""
+    keyed = found.withColumn("key", F.monotonically_increasing_id())
+    runs = keyed.select("key", F.posexplode(F.regexp_extract_all(F.lower("value"), F.lit(rf"[a-z]{{{SHORTEST},64}}"), F.lit(0))).alias("piece", "run"))
+    at = runs.select("key", "piece", "run", F.explode(F.sequence(F.lit(1), F.length("run") - SHORTEST + 1)).alias("i"))
+    parts = at.select("key", "piece", "i", F.explode(F.sequence(F.lit(SHORTEST), F.least(F.lit(LONGEST), F.length("run") - F.col("i") + 1))).alias("n"), "run")
+    hits = parts.withColumn("word", F.substring("run", F.col("i"), F.col("n"))).join(F.broadcast(words), "word")
+    places = F.size(F.array_distinct(F.flatten(F.collect_list(F.sequence(F.col("i"), F.col("i") + F.col("n") - 1)))))  # of at most 64 letters
+    letters = hits.groupBy("key", "piece").agg(places.alias("n")).groupBy("key").agg(F.sum("n").alias("letters"))
+    return keyed.join(letters, "key", "left").drop("key").withColumn("letters", F.coalesce("letters", F.lit(0)))
+
+
+def with_features(found: DataFrame, words: DataFrame | None = None) -> DataFrame:
+    """Adds FEATURES to rows with value, assigned (whether a name precedes it), before, after, source; `words` is a dictionary."""
+    found = found.withColumn("letters", F.lit(0)) if words is None else covered(found, words)
     v, low = F.col("value"), F.lower(F.col("value"))
     n = F.greatest(F.length(v), F.lit(1)).cast("double")
     around = F.lower(F.concat_ws(" ", "before", "after"))
@@ -77,7 +101,7 @@ def with_features(found: DataFrame) -> DataFrame:
         "vowel_changes": _count(low, "(?<=[aeiou])(?=[b-df-hj-np-tv-z])|(?<=[b-df-hj-np-tv-z])(?=[aeiou])") / n,
         "rare_pairs": _count(low, "(?=(?:[bcdfghjklmnpqrstvwxz][qxzjvkw]|[qxzj][b-df-hj-np-tv-z]))") / n,
         "distinct_share": F.size(F.array_distinct(F.split(low, ""))).cast("double") / F.least(n, F.lit(36.0)),
-        "dictionary_share": 1 - F.length(F.regexp_replace(low, either(DICTIONARY), "")) / n,
+        "dictionary_share": F.greatest(1 - F.length(F.regexp_replace(low, either(DICTIONARY), "")) / n, F.col("letters") / n),
         "hex": yes(v.rlike(r"^(?:0x)?[0-9a-fA-F]{16,}$")),
         "known_form": yes(~F.col("assigned")),
         "secret_word": yes(F.col("assigned") | around.rlike(r"\b(?:token|secret|password|passwd|pwd|api[_-]?key|credential|auth)")),
@@ -86,28 +110,35 @@ def with_features(found: DataFrame) -> DataFrame:
         "run_share": (n - F.length(F.regexp_replace(low, r"(.)\1{2,}", "$1"))) / n,
         "quoted": yes(F.col("before").rlike("[\"'`]$")),
     }
-    return found.withColumns({k: columns[k].cast("double") for k in FEATURES})
+    return found.withColumns({k: columns[k].cast("double") for k in FEATURES}).drop("letters")
+
+
+def matches(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(f"({PATTERN})"), F.lit(1))
+
+
+def gaps(text: Column) -> Column:
+    """What lies before, between and after the matches."""
+    return F.split(text, PATTERN, -1)
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, source, start, length, value, assigned, before and after of each candidate."""
+    """doc_id, text_hash, source, at (number in its text), start, length, value, assigned, before and after of each candidate."""
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), "text")
-    matches = F.regexp_extract_all("text", F.lit(f"({PATTERN})"), F.lit(1))
-    empty = F.array().cast("array<struct<start:int,whole:string>>")
-
-    def place(acc: Column, m: Column) -> Column:
-        at = F.call_function("locate", m, F.col("text"), acc["next"])
-        return F.struct(F.array_append(acc["found"], F.struct(at.alias("start"), m.alias("whole"))).alias("found"), (at + F.length(m)).alias("next"))
-
-    found = d.withColumn("matches", matches).filter(F.size("matches") > 0)
-    found = found.withColumn("found", F.aggregate("matches", F.struct(empty.alias("found"), F.lit(1).alias("next")), place, lambda a: a["found"]))
-    found = found.select("doc_id", "source", F.xxhash64("text").alias("text_hash"), "text", F.explode("found").alias("m"))
-    name = F.regexp_extract(F.col("m.whole"), f"^({NAME})", 1)
-    found = found.withColumn("name", name).withColumn("start", F.col("m.start") + F.length("name")).withColumn("value", F.substring(F.col("m.whole"), F.length("name") + 1, F.length("m.whole")))
+    d = d.withColumn("matches", matches(F.col("text"))).filter(F.size("matches") > 0).withColumn("gaps", gaps(F.col("text")))
+    beside = lambda array, i: F.coalesce(F.get(array, i), F.lit(""))
+
+    def piece(m: Column, i: Column) -> Column:
+        before, after = F.concat(beside("matches", i - 1), F.get("gaps", i)), F.concat(F.get("gaps", i + 1), beside("matches", i + 1))
+        return F.struct(i.alias("at"), m.alias("whole"), F.length(F.get("gaps", i)).alias("gap"), F.right(before, F.lit(NEAR)).alias("before"), F.left(after, F.lit(NEAR)).alias("after"))
+
+    found = d.withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", "source", F.xxhash64("text").alias("text_hash"), F.inline(F.transform("matches", piece)))
+    earlier = Window.partitionBy("row").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)  # the candidates of one text
+    found = found.withColumn("start", F.coalesce(F.sum(F.col("gap") + F.length("whole")).over(earlier), F.lit(0)) + F.col("gap") + 1)
+    found = found.withColumn("name", F.regexp_extract("whole", f"^({NAME})", 1)).withColumn("value", F.substring("whole", F.length("name") + 1, F.length("whole")))
     return found.select(
-        "doc_id", "text_hash", "source", "start", F.length("value").alias("length"), "value", (F.length("name") > 0).alias("assigned"),
-        F.substring("text", F.greatest(F.lit(1), F.col("start") - NEAR), F.least(F.lit(NEAR), F.col("start") - 1)).alias("before"),
-        F.substring("text", F.col("start") + F.length("value"), F.lit(NEAR)).alias("after"),
+        "doc_id", "text_hash", "source", "at", (F.col("start") + F.length("name")).cast("int").alias("start"), F.length("value").alias("length"), "value", (F.length("name") > 0).alias("assigned"),
+        F.right(F.concat("before", "name"), F.lit(NEAR)).alias("before"), "after",
     )
 
 
@@ -124,6 +155,7 @@ def labelled_findings(spark: SparkSession, rows: int = 4000) -> DataFrame:
         (F.substring(mixed, F.lit(1), size(16, 64, 1)), True), (F.substring(mixed, F.lit(5), size(20, 44, 2)), True),
         (F.concat(F.substring(mixed, 1, 6), F.lit("!"), F.substring(mixed, 9, 5), F.lit("#"), F.substring(mixed, 20, 4)), True),
         (F.concat(F.lit("AKIA"), F.upper(F.substring(mixed, 1, 16))), False), (F.concat(F.lit("ghp_"), F.substring(mixed, 1, 36)), False), (F.concat(F.lit("sk_live_"), F.substring(mixed, 1, 24)), False),
+        (F.concat(F.lit("npm_"), F.substring(mixed, 1, 36)), False), (F.concat(F.lit("glpat-"), F.substring(mixed, 1, 20)), False), (F.concat(F.lit("SG."), F.substring(mixed, 1, 22), F.lit("."), F.substring(mixed, 30, 43)), False),
         (F.concat(F.lit("eyJ"), F.substring(mixed, 1, 20), F.lit(".eyJ"), F.substring(mixed, 21, 40), F.lit("."), F.substring(mixed, 61, 24)), False),
         (F.concat(F.lit("-----BEGIN RSA PRIVATE KEY-----\n"), F.regexp_replace(F.substring(F.base64(F.unhex(F.repeat(F.concat(digest("a"), digest("b")), 4))), F.lit(1), size(60, 680, 5)), "(.{64})", "$1\n"), F.lit("\n-----END RSA PRIVATE KEY-----")), False),
         (F.repeat(mixed, 3), True),
@@ -133,10 +165,11 @@ def labelled_findings(spark: SparkSession, rows: int = 4000) -> DataFrame:
         (F.concat(F.lit("${"), F.upper(word(7)), F.lit("_"), F.upper(word(8)), F.lit("}")), True), (F.concat_ws(".", word(9), word(10), word(1)), True), (F.concat(F.lit("/"), word(2), F.lit("/"), word(3), F.lit("/"), word(4)), True),
         (F.lit("1234567890123456"), True), (F.rpad(F.lit(""), size(8, 32, 4), "0"), True), (F.concat(word(5), F.initcap(word(6)), F.initcap(word(7)), F.lit("()")), True), (F.concat(F.lit("AKIAEXAMPLE"), F.lit("EXAMPLEX")), False),
         (F.concat(F.lit("-----BEGIN PRIVATE KEY-----\n"), F.concat_ws(" ", F.lit("your"), word(1), word(2), word(3), F.lit("here")), F.lit("\n-----END PRIVATE KEY-----")), False), (F.concat_ws("/", *[word(k) for k in range(1, 11)] * 4), True),
+        (F.concat(F.lit("npm_"), F.rpad(F.lit(""), size(36, 40, 6), "x")), False), (F.concat(F.lit("glpat-"), F.concat_ws("-", F.lit("your"), word(1), word(2), word(3), F.lit("here"))), False), (F.concat(F.lit("process.env."), F.upper(word(3)), F.lit("_"), F.upper(word(9))), True),
     ]
     case = lambda options, at, k: reduce(lambda c, o: c.when(at == o[0], o[1][k]), list(enumerate(options))[1:], F.when(at == 0, options[0][k]))
     label = F.pmod(F.xxhash64(i, F.lit("label")), F.lit(2))
-    at = F.pmod(F.xxhash64(i, F.lit("kind")), F.lit(len(real)))
+    at = F.pmod(F.xxhash64(i, F.lit("kind")), F.lit(len(real)))  # both lists are of one length
     assigned = F.when(label == 1, case([(v, F.lit(a)) for v, a in real], at, 1)).otherwise(case([(v, F.lit(a)) for v, a in alarm], at, 1))
     value = F.when(label == 1, case(real, at, 0)).otherwise(case(alarm, at, 0))
     quote = pick(['"', "'", ""], "quote")
@@ -151,37 +184,49 @@ def labelled_findings(spark: SparkSession, rows: int = 4000) -> DataFrame:
     )
 
 
-def train(spark: SparkSession, rows: int = 4000, trees: int = 24, depth: int = 6, seed: int = 4) -> PipelineModel:
+def train(spark: SparkSession, rows: int = 4000, trees: int = 24, depth: int = 6, seed: int = 4, words: DataFrame | None = None) -> PipelineModel:
     """A forest on `rows` labelled findings; a fixed number, so its cost doesn't grow with the corpus."""
-    findings = cut(with_features(labelled_findings(spark, rows)).select("label", *FEATURES))
+    found = labelled_findings(spark, rows)
+    findings = cut(with_features(found if words is None else cut(found), words).select("label", *FEATURES))
     forest = RandomForestClassifier(featuresCol="features", labelCol="label", numTrees=trees, maxDepth=depth, seed=seed, maxMemoryInMB=64)
     gather = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
     model: RandomForestClassificationModel = forest.fit(gather.transform(findings))
     return PipelineModel([gather, model])
 
 
-def scan(spark: SparkSession, docs: DataFrame, model: PipelineModel | None = None, threshold: float = 0.5) -> DataFrame:
-    """doc_id, text_hash, start, length, value, probability and secret (the verdict) of each candidate."""
-    model = model or train(spark)
-    scored = model.transform(with_features(candidates(docs)))
+def scan(spark: SparkSession, docs: DataFrame, model: PipelineModel | None = None, threshold: float = 0.5, words: DataFrame | None = None) -> DataFrame:
+    """doc_id, text_hash, at, start, length, value, probability and secret (the verdict) of each candidate.
+
+    Without a model, the dictionary is made of `docs` and a forest is fitted with it; a model that
+    was fitted with `words` needs them.
+    """
+    if model is None:
+        words = dictionary(docs)
+        model = train(spark, words=words)
+    found = candidates(docs)
+    scored = model.transform(with_features(found if words is None else cut(found), words))
     p = vector_to_array("probability").getItem(1)
-    return scored.select("doc_id", "text_hash", "start", "length", "value", p.alias("probability"), (p >= threshold).alias("secret"))
+    return scored.select("doc_id", "text_hash", "at", "start", "length", "value", p.alias("probability"), (p >= threshold).alias("secret"))
 
 
 def redact(docs: DataFrame, findings: DataFrame, mark: str = "[SECRET]") -> DataFrame:
-    """`docs` with every secret of `findings` replaced by `mark`; columns and rows stay."""
-    spans = findings.filter("secret").distinct().groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_list(F.struct("start", "length")), asc=False).alias("spans"))
-    spans = spans.select(F.col("doc_id").alias("span_doc"), F.col("text_hash").alias("span_hash"), "spans")
-    clean = F.aggregate(
-        "spans", F.col("text"), lambda t, s: F.concat(F.substring(t, F.lit(1), s["start"] - 1), F.lit(mark), F.substring(t, s["start"] + s["length"], F.length(t)))
-    )
-    names = docs.columns
-    joined = docs.join(spans, docs["doc_id"].cast("long").eqNullSafe(spans["span_doc"]) & (F.xxhash64(docs["text"]) == spans["span_hash"]), "left")
-    return joined.select(*[F.when(F.col("spans").isNull(), docs["text"]).otherwise(clean).alias("text") if c == "text" else docs[c] for c in names])
+    """`docs` with every secret of `findings` (what `scan` gives for them) replaced by `mark`; columns and rows stay."""
+    verdicts = findings.select("doc_id", "text_hash", F.struct("at", "length", "secret").alias("verdict")).distinct()  # as many as one text has candidates
+    verdicts = verdicts.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_list("verdict")).alias("verdicts"), F.bool_or("verdict.secret").alias("any")).filter("any")
+    text, found = docs["text"], matches(docs["text"])
+
+    def piece(gap: Column, i: Column) -> Column:
+        v, m = F.get(verdicts["verdicts"], i), F.get(found, i)
+        return F.concat(gap, F.coalesce(F.when(v["secret"], F.concat(F.substr(m, F.lit(1), F.length(m) - v["length"]), F.lit(mark))).otherwise(m), F.lit("")))
+
+    clean = F.array_join(F.transform(gaps(text), piece), "")
+    joined = docs.join(verdicts, docs["doc_id"].cast("long").eqNullSafe(verdicts["doc_id"]) & (F.xxhash64(text) == verdicts["text_hash"]), "left")
+    return joined.select(*[F.when(verdicts["any"], clean).otherwise(text).alias("text") if c == "text" else docs[c] for c in docs.columns])
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan(spark, read_table(spark, sf_dir, "documents")).drop("text_hash")
+    found = scan(spark, read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "start", "length", F.sha2("value", 256).alias("value_sha256"), "probability", "secret")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -332,6 +332,61 @@ def test_secrets_of_names_with_more_words(spark, forest):
     assert {r["doc_id"]: r["text"] for r in secrets.redact(df, got).collect()} == {i: t.replace(value, "[SECRET]") if i < len(names) else t for i, t in rows}
 
 
+def test_secret_places_are_those_of_the_match(spark, forest):
+    """The same string earlier in a text is not the match; many candidates and clashing names do no harm."""
+    a, b = hashlib.sha1(b"a").hexdigest(), hashlib.md5(b"b").hexdigest()
+    texts = [f'x = "{a}" or {b} then token = "{a}" and my_secret={b} z', f"token={a} {a} token={a}", "é😀 " * 50 + f"password: {b}", " ".join(f"token={hashlib.md5(str(i).encode()).hexdigest()}" for i in range(3000))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumns({c: F.lit(c) for c in ("source", "spans", "verdicts", "any", "at", "secret", "gaps", "matches")})
+    got = secrets.scan(spark, df, forest).cache()
+    for r in got.collect():
+        t = texts[r["doc_id"]]
+        assert t[r["start"] - 1 : r["start"] - 1 + r["length"]] == r["value"] and t[: r["start"] - 1].endswith(('token = "', "secret=", "token=", "password: "))
+    clean = {r["doc_id"]: r["text"] for r in secrets.redact(df, got).collect()}
+    assert clean[0] == f'x = "{a}" or {b} then token = "[SECRET]" and my_secret=[SECRET] z' and clean[1] == f"token=[SECRET] {a} token=[SECRET]"
+    assert clean[2] == "é😀 " * 50 + "password: [SECRET]" and clean[3] == " ".join(["token=[SECRET]"] * 3000) and secrets.redact(df, got).columns == df.columns
+
+
+def test_secret_recall_by_form_and_false_alarms(spark):
+    """Findings written here, not by the rules of the training: recall of each form, precision over all, nothing left after redaction."""
+    r = random.Random(44)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    key = lambda n, of=letters: "".join(r.choice(of) for _ in range(n))
+    forms = {
+        "aws": lambda: "AKIA" + key(16, letters[:26] + "234567"), "github": lambda: "ghp_" + key(36), "pat": lambda: "github_pat_" + key(60), "gitlab": lambda: "glpat-" + key(20), "npm": lambda: "npm_" + key(36),
+        "slack": lambda: f"xoxb-{key(11, letters[52:])}-{key(24)}", "google": lambda: "AIza" + key(35), "stripe": lambda: "sk_live_" + key(28), "mail": lambda: f"SG.{key(22)}.{key(43)}", "jwt": lambda: f"eyJ{key(33)}.eyJ{key(90)}.{key(43)}",
+    }
+    names = ["DB_PASSWORD={}", "aws_secret_access_key = {}", '"apiKey": "{}"', "client-secret: '{}'", "AUTH_TOKEN={}"]
+    values = {"hex32": lambda: key(32, "0123456789abcdef"), "hex40": lambda: key(40, "0123456789abcdef"), "mixed": lambda: key(r.randrange(20, 48)), "b64": lambda: key(43) + "="}
+    planted, texts = [], []
+    for _ in range(25):
+        for kind, make in forms.items():
+            planted.append((kind, v := make()))
+            texts.append(f"{sentence(r, 12)} {v} {sentence(r, 9)}")
+        for kind, make in values.items():
+            planted.append((kind, v := make()))
+            texts.append(f"{sentence(r, 12)} {r.choice(names).format(v)} {sentence(r, 9)}")
+    false = ["password: correct horse battery", "token = getTokenFromRequest(request)", "api_key: YOUR_API_KEY_HERE", "secret = process.env.MY_SECRET_VALUE", "password=changeme123", "token: {{ vault.token.value }}", "access_key = os.environ['ACCESS_KEY']", "password = xxxxxxxxxxxx", "secret_name: production/database/password", 'token = "example-token-placeholder"']
+    texts += [f"{sentence(r, 12)} {t} {sentence(r, 9)}" for t in false for _ in range(5)] + [f"alpha gamma kappa omega {sentence(r, 20)}" for _ in range(200)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("source", F.lit("src"))
+    got = secrets.scan(spark, df).cache()
+    hits = {x["doc_id"] for x in got.collect() if x["secret"] and x["doc_id"] < len(planted) and x["value"] == planted[x["doc_id"]][1]}
+    for kind in (*forms, *values):
+        mine = [i for i, (k, _) in enumerate(planted) if k == kind]
+        assert sum(i in hits for i in mine) >= 0.9 * len(mine), kind
+    wrong = sum(x["secret"] and x["doc_id"] >= len(planted) for x in got.collect())
+    assert len(hits) / (len(hits) + wrong) > 0.9, [x["value"] for x in got.collect() if x["secret"] and x["doc_id"] >= len(planted)]
+    left = {x["doc_id"]: x["text"] for x in secrets.redact(df, got).collect()}
+    assert all(planted[i][1] not in left[i] for i in hits) and len(left) == len(texts)
+
+
+def test_dictionary_coverage(spark, docs, nothing):
+    words = secrets.dictionary(spark.createDataFrame([("Correct horse, battery",), ("correct horse battery staple",), (None,)], "text string"))
+    assert {x["word"] for x in words.collect()} == {"correct", "horse", "battery"}
+    found = spark.createDataFrame([("correcthorsebattery",), ("HORSE99horse",), ("q" * 200 + "battery",), ("zzzz",), ("",)], "value string").checkpoint()
+    assert {x["value"]: x["letters"] for x in secrets.covered(found, words).collect()} == {"correcthorsebattery": 19, "HORSE99horse": 10, "q" * 200 + "battery": 7, "zzzz": 0, "": 0}
+    assert secrets.dictionary(nothing).count() == 0
+
+
 # --- 5, 6, 8: models ----------------------------------------------------------
 
 
