@@ -5,13 +5,15 @@ the leftmost on ties. Equal windows have equal anchors, so a window can only rec
 anchor's phrase does. Anchors are counted over the whole corpus; only the windows of recurring
 ones go on, as passages: the words of all windows that share one anchor occurrence.
 
-Automata. Passages are dealt to shards by their anchor. A shard confirms which windows recur
-in the portion it holds, compiles them, a character for each word, into an Aho-Corasick
-automaton, and streams its passages through it; each occurrence but the first is removed. The
-passages of a very common anchor are dealt over many portions; windows that are first in their
-portion are then compared over all portions by one minimum for each window, so no task ever
-gathers one anchor's passages. Of equal passages in a portion only the first is compiled; the
-others go wholly. The texts are shuffled once: both joins on doc_id read the same exchange.
+Automata. Passages are dealt to shards by their anchor. A shard confirms which windows recur in
+its portion by counting their hashes, compiles the confirmed ones, a character for each word, into
+an Aho-Corasick automaton, and streams every passage of every document through it; what the
+automaton finds are the occurrences, and each but the first is removed. The passages of a very
+common anchor are dealt over many portions; the first place of each window in its portion is then
+compared over all portions by one minimum for each window, so no task ever gathers one anchor's
+passages. Anchors that hold more than 1/4096 of all occurrences, 4096 at most, are known to every
+task and meet no other row by their key. The texts are shuffled once: both joins on doc_id read the
+same exchange.
 
 Words are runs outside white space, unchanged. Null and short texts have no window and lose
 nothing. Order is (doc_id, start): rows that repeat a doc_id are judged as one document would
@@ -27,11 +29,11 @@ import hashlib
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .jaccard_join import by_group
-from .shared import arrow_map, read_table, text_buffer
+from .shared import arrow_map, read_table, rewrite, text_buffer
 from .words import Words, combined, factors, find_words, mix, window_starts
 
 PHRASE = 5
@@ -39,6 +41,8 @@ PHRASE = 5
 PORTION = 4096
 #: Passages that one automaton takes, besides those of one more anchor's portion.
 COMPILED = 8192
+#: Anchors with more than this part of all occurrences are hot.
+HOT = 4096
 
 
 def anchor_runs(w: Words, hashes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -114,37 +118,23 @@ def passages(docs: DataFrame, hits: DataFrame, width: int) -> DataFrame:
     return arrow_map(docs.join(lists, "doc_id"), "anchor long, portion int, doc_id long, start int, words binary", make)
 
 
-def locate(texts: list[str], counts: list[int], places: list[tuple[int, int]], width: int) -> tuple[list[tuple[int, int]], dict[str, tuple[int, int]]]:
-    """(passage, offset) of each window occurrence that has an earlier one; and the first place of each window.
+def confirmed(hashes: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First word of every window; whether it occurs again; and the number of its sequence of words."""
+    at = window_starts(first, width)
+    _, number, times = np.unique(combined(hashes, width)[at], return_inverse=True, return_counts=True)
+    return at, times[number] > 1, number
 
-    A passage is one character for each word.
-    """
-    least: dict[str, tuple[int, int]] = {}
-    twice: dict[str, int] = {}
-    for s, n, (doc, start) in zip(texts, counts, places):
-        for j in range(n):
-            w = s[j : j + width]
-            place = (doc, start + j)
-            old = least.setdefault(w, place)
-            if old is not place:
-                twice[w] = 0
-                if place < old:
-                    least[w] = place
-    if not twice:
-        return [], least
+
+def occurrences(text: str, phrases: list[str]) -> np.ndarray:
+    """Rows (first character, number of the phrase) of every occurrence in `text` of phrases of one length, found by an automaton."""
+    if not phrases:
+        return np.zeros((0, 2), np.int64)
     automaton = ahocorasick.Automaton()
-    firsts = []
-    for k, w in enumerate(twice):
-        automaton.add_word(w, k)
-        firsts.append(least[w])
+    for k, phrase in enumerate(phrases):
+        automaton.add_word(phrase, k)
     automaton.make_automaton()
-    gone = []
-    for i, (s, (doc, start)) in enumerate(zip(texts, places)):
-        for end, k in automaton.iter(s):
-            j = end - width + 1
-            if firsts[k] != (doc, start + j):
-                gone.append((i, j))
-    return gone, least
+    found = np.array([end << 32 | k for end, k in automaton.iter(text)], np.int64)
+    return np.column_stack([(found >> 32) - len(phrases[0]) + 1, found & 0xFFFFFFFF])
 
 
 def removals(rows: DataFrame, width: int) -> DataFrame:
@@ -156,52 +146,44 @@ def removals(rows: DataFrame, width: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(np.asarray(a, np.int32)), pa.array(np.asarray(b, np.int32)), none if k1 is None else pa.array(k1), none if k2 is None else pa.array(k2)], schema=schema)
 
     def work(table: pa.Table):
-        anchor, portion, doc, start = (table.column(c).to_pylist() for c in ("anchor", "portion", "doc_id", "start"))
-        raw = table.column("words").to_pylist()
-        first: dict[tuple, int] = {}  # of equal passages the first; the others go wholly
-        kinds: dict[tuple, int] = {}
-        gone = []
-        for i, key in enumerate(zip(anchor, portion, raw)):
-            if not key[2]:
-                continue
-            j = first.setdefault(key, i)
-            if j == i:
-                kinds[key[:2]] = kinds.get(key[:2], 0) + 1
-            elif (doc[i], start[i]) < (doc[j], start[j]):
-                first[key] = i
-                gone.append(j)
-            elif (doc[i], start[i]) > (doc[j], start[j]):
-                gone.append(i)
-        if gone:
-            yield batch([doc[i] for i in gone], [start[i] for i in gone], [start[i] + len(raw[i].split()) for i in gone])
-        rest = [i for key, i in first.items() if kinds[key[:2]] > 1 or portion[i] >= 0]
-        if rest:
-            yield from windowed(table.take(pa.array(rest)))
-
-    def windowed(table: pa.Table):
         words = table.column("words").combine_chunks()
         w = find_words(*text_buffer(words.combine_chunks() if isinstance(words, pa.ChunkedArray) else words))
+        if len(w.starts) == 0:
+            return
         hashes = w.hashes()
-        _, number = np.unique(hashes, return_inverse=True)
-        whole = (number + 0xE000).astype("<u4").tobytes().decode("utf-32-le")
-        n = np.maximum(w.counts - width + 1, 0).tolist()
+        at, again, number = confirmed(hashes, w.first, width)
+        _, letter = np.unique(hashes, return_inverse=True)
+        # a character for each word, and one that is no word after each passage; the surrogates have none
+        ends = w.first[1:] + np.arange(len(w.counts))
+        line = np.full(len(hashes) + len(ends), 0xE000, "<u4")
+        line[np.arange(len(hashes)) + w.doc()] = letter + 0xE001
+        text = line.tobytes().decode("utf-32-le")
         doc, start, portion = (table.column(c).to_numpy() for c in ("doc_id", "start", "portion"))
-        texts = [whole[a:b] for a, b in zip(w.first[:-1].tolist(), w.first[1:].tolist())]
-        gone, least = locate(texts, n, list(zip(doc.tolist(), start.tolist())), width)
-        if gone:
-            i, j = np.array(gone, np.int64).T
+        passage = np.searchsorted(w.first, at, "right") - 1
+        begins = at + passage  # in `text`
+        _, sample = np.unique(number[again], return_index=True)
+        found = occurrences(text, [text[i : i + width] for i in begins[again][sample].tolist()])
+        of = np.searchsorted(ends, found[:, 0])
+        place = start[of] + found[:, 0] - (ends - w.counts)[of]
+        order = np.lexsort((place, doc[of], found[:, 1]))
+        of, place, k = of[order], place[order], found[order, 1]
+        new = np.append(True, k[1:] != k[:-1])[: len(k)]
+        head = np.flatnonzero(new)[np.cumsum(new) - 1]
+        gone = (doc[of] != doc[of[head]]) | (place != place[head])
+        if gone.any():
+            i, j = of[gone], place[gone]
             order = np.lexsort((j, i))
             i, j = i[order], j[order]
-            new = np.concatenate([[True], (i[1:] != i[:-1]) | (j[1:] > j[:-1] + 1)])
-            a = np.flatnonzero(new)
-            b = np.append(a[1:], len(i)) - 1
-            yield batch(doc[i[a]], start[i[a]] + j[a], start[i[b]] + j[b] + width)
-        if (portion >= 0).any():
-            a = [(i, j) for i in np.flatnonzero(portion >= 0).tolist() for j in range(n[i]) if least[texts[i][j : j + width]] == (doc[i], start[i] + j)]
-            if a:
-                i, j = np.array(a, np.int64).T
-                at = w.first[i] + j
-                yield batch(doc[i], start[i] + j, start[i] + j + width, *[_window_keys(hashes, at, width, salt) for salt in (1, 2)])
+            edge = np.flatnonzero(np.append(True, (i[1:] != i[:-1]) | (j[1:] > j[:-1] + 1)))
+            last = np.append(edge[1:], len(i)) - 1
+            yield batch(doc[i[edge]], j[edge], j[last] + width)
+        if (portion >= 0).any():  # the first place of each window of a hot anchor in its portion
+            lone = ~again & (portion[passage] >= 0)
+            i = np.concatenate([passage[lone], of[new & (portion[of] >= 0)]])
+            j = np.concatenate([start[passage[lone]] + at[lone] - w.first[passage[lone]], place[new & (portion[of] >= 0)]])
+            if len(i):
+                words_at = w.first[i] + j - start[i]
+                yield batch(doc[i], j, j + width, *[_window_keys(hashes, words_at, width, salt) for salt in (1, 2)])
 
     def run(batches):
         held, rows_held = [], 0
@@ -230,15 +212,21 @@ def dedup(spark: SparkSession, documents: DataFrame, width: int = 20, texts: boo
     # a cast would hide from Spark that both joins read the same exchange
     every = documents.select("doc_id" if dict(documents.dtypes)["doc_id"] == "bigint" else F.col("doc_id").cast("long").alias("doc_id"), "text")
     docs = every.filter("doc_id is not null")
-    again = anchors(docs, width, False).groupBy("anchor").agg(F.count("*").alias("times")).filter("times > 1")
-    hits = anchors(docs, width, True).join(again, "anchor")
+    again = rewrite(anchors(docs, width, False).groupBy("anchor").agg(F.count("*").alias("times")).filter("times > 1"), "anchors")
+    total = again.agg(F.coalesce(F.sum("times"), F.lit(0))).first()[0]
+    hot = again.filter((F.col("times") > portion) & (F.col("times") * HOT > total)).withColumnRenamed("times", "hot")  # HOT rows at most
+    places = anchors(docs, width, True).join(F.broadcast(hot), "anchor", "left")
+    # occurrences of hot anchors need no join: they get any key
+    places = places.withColumn("key", F.when(F.col("hot").isNull(), F.col("anchor")).otherwise(F.xxhash64("doc_id", "start")))
+    hits = places.join(again.select(F.col("anchor").alias("key"), "times"), "key", "left").withColumn("times", F.coalesce("hot", "times")).filter("times is not null")
     spread = F.pmod(F.xxhash64("doc_id", "start"), F.ceil(F.col("times") * 2 / portion))
     hits = hits.select("doc_id", "start", F.when(F.col("times") > portion, spread).otherwise(-1).cast("int").alias("portion"))
-    found = removals(passages(docs, hits, width), width)
-    alone = F.col("w1").isNull()
-    same = Window.partitionBy("w1", "w2", F.when(alone, F.col("doc_id")), F.when(alone, F.col("start")))
-    found = found.withColumn("least", F.min(F.struct("doc_id", "start")).over(same)).filter(alone | (F.struct("doc_id", "start") != F.col("least")))
-    lists = found.groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("ranges"))
+    found = rewrite(removals(passages(docs, hits, width), width), "removals")
+    crossing = found.filter("w1 is not null")
+    least = crossing.groupBy("w1", "w2").agg(F.min(F.struct("doc_id", "start")).alias("least"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    later = crossing.join(least, ["w1", "w2"]).filter(F.struct("doc_id", "start") != F.col("least"))
+    gone = found.filter("w1 is null").select("doc_id", "start", "stop").union(later.select("doc_id", "start", "stop"))
+    lists = gone.groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("ranges"))
 
     def make():
         def work(part):
