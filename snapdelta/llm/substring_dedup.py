@@ -11,8 +11,8 @@ an Aho-Corasick automaton, and streams every passage of every document through i
 automaton finds are the occurrences, and each but the first is removed. The passages of a very
 common anchor are dealt over many portions; the first place of each window in its portion is then
 compared over all portions by one minimum for each window, so no task ever gathers one anchor's
-passages. Anchors that hold more than 1/4096 of all occurrences, 4096 at most, are known to every
-task and meet no other row by their key. The texts are shuffled once: both joins on doc_id read the
+passages. The 4096 most frequent anchors, among them each that holds more than 1/4096 of all
+occurrences, are known to every task, so that no common key meets in one. The texts are shuffled once: both joins on doc_id read the
 same exchange.
 
 Words are runs outside white space, unchanged. Null and short texts have no window and lose
@@ -29,19 +29,19 @@ import hashlib
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .jaccard_join import by_group
-from .shared import arrow_map, read_table, rewrite, text_buffer
+from .shared import arrow_map, read_table, text_buffer
 from .words import Words, combined, factors, find_words, mix, window_starts
 
 PHRASE = 5
 #: Passages of one anchor above this number are dealt over several portions.
 PORTION = 4096
 #: Passages that one automaton takes, besides those of one more anchor's portion.
-COMPILED = 8192
-#: Anchors with more than this part of all occurrences are hot.
+COMPILED = 2048
+#: Anchors that every task knows, if their passages are dealt over several portions.
 HOT = 4096
 
 
@@ -212,21 +212,20 @@ def dedup(spark: SparkSession, documents: DataFrame, width: int = 20, texts: boo
     # a cast would hide from Spark that both joins read the same exchange
     every = documents.select("doc_id" if dict(documents.dtypes)["doc_id"] == "bigint" else F.col("doc_id").cast("long").alias("doc_id"), "text")
     docs = every.filter("doc_id is not null")
-    again = rewrite(anchors(docs, width, False).groupBy("anchor").agg(F.count("*").alias("times")).filter("times > 1"), "anchors")
-    total = again.agg(F.coalesce(F.sum("times"), F.lit(0))).first()[0]
-    hot = again.filter((F.col("times") > portion) & (F.col("times") * HOT > total)).withColumnRenamed("times", "hot")  # HOT rows at most
+    again = anchors(docs, width, False).groupBy("anchor").agg(F.count("*").alias("times")).filter("times > 1")
+    hot = again.orderBy(F.desc("times"), "anchor").limit(HOT).filter(F.col("times") > portion).withColumnRenamed("times", "hot")
     places = anchors(docs, width, True).join(F.broadcast(hot), "anchor", "left")
     # occurrences of hot anchors need no join: they get any key
     places = places.withColumn("key", F.when(F.col("hot").isNull(), F.col("anchor")).otherwise(F.xxhash64("doc_id", "start")))
     hits = places.join(again.select(F.col("anchor").alias("key"), "times"), "key", "left").withColumn("times", F.coalesce("hot", "times")).filter("times is not null")
     spread = F.pmod(F.xxhash64("doc_id", "start"), F.ceil(F.col("times") * 2 / portion))
     hits = hits.select("doc_id", "start", F.when(F.col("times") > portion, spread).otherwise(-1).cast("int").alias("portion"))
-    found = rewrite(removals(passages(docs, hits, width), width), "removals")
-    crossing = found.filter("w1 is not null")
-    least = crossing.groupBy("w1", "w2").agg(F.min(F.struct("doc_id", "start")).alias("least"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    later = crossing.join(least, ["w1", "w2"]).filter(F.struct("doc_id", "start") != F.col("least"))
-    gone = found.filter("w1 is null").select("doc_id", "start", "stop").union(later.select("doc_id", "start", "stop"))
-    lists = gone.groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("ranges"))
+    # one exchange brings the ranges of a document together and the first places of a hot window
+    alone = F.col("w1").isNull()
+    found = removals(passages(docs, hits, width), width).withColumn("meet", F.when(alone, F.xxhash64("doc_id")).otherwise(F.xxhash64("w1", "w2"))).repartition("meet")
+    same = Window.partitionBy("meet", "w1", "w2", F.when(alone, F.col("doc_id")), F.when(alone, F.col("start")))
+    found = found.withColumn("least", F.min(F.struct("doc_id", "start")).over(same)).filter(alone | (F.struct("doc_id", "start") != F.col("least")))
+    lists = found.groupBy("meet", "doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("ranges")).groupBy("doc_id").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
 
     def make():
         def work(part):
