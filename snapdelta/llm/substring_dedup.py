@@ -212,7 +212,8 @@ def dedup(spark: SparkSession, documents: DataFrame, width: int = 20, texts: boo
     # a cast would hide from Spark that both joins read the same exchange
     every = documents.select("doc_id" if dict(documents.dtypes)["doc_id"] == "bigint" else F.col("doc_id").cast("long").alias("doc_id"), "text")
     docs = every.filter("doc_id is not null")
-    again = anchors(docs, width, False).groupBy("anchor").agg(F.count("*").alias("times")).filter("times > 1")
+    # joins filter null keys; done here, the counts have one plan and one exchange for both uses
+    again = anchors(docs, width, False).filter("anchor is not null").groupBy("anchor").agg(F.count("*").alias("times")).filter("times > 1")
     hot = again.orderBy(F.desc("times"), "anchor").limit(HOT).filter(F.col("times") > portion).withColumnRenamed("times", "hot")
     places = anchors(docs, width, True).join(F.broadcast(hot), "anchor", "left")
     # occurrences of hot anchors need no join: they get any key

@@ -583,6 +583,17 @@ def test_substring_dedup(spark, rows, docs, width, portion):
     assert collections.Counter(map(tuple, got)) == brute_removals(rows, width)
 
 
+def test_substring_dedup_reuses_its_exchanges(spark, tables):
+    """The texts and the counts of anchors cross the network once each."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # as with large tables
+    try:
+        df = substring_dedup.op10(spark, tables)
+        df.collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("ReusedExchange") == 2
+
+
 def test_substring_dedup_gives_texts(spark, nothing):
     df = spark.createDataFrame([(1, "a b c d e f g h"), (2, "x a b c d e f g y")], "doc_id long, text string")
     got = {r["doc_id"]: r["kept"] for r in substring_dedup.dedup(spark, df, 7, texts=True).collect()}
