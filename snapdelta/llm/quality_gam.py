@@ -2,8 +2,8 @@
 
 Each feature has a lookup table over quantile bins. Cyclic boosting visits the features in
 turn and adds to a table the steps of a shallow tree on the residuals of that feature alone;
-the pairs whose joint bins still explain most of what is left get tables of their own in the
-same way. A score is a sum of table entries, so a batch is scored by `searchsorted` and adds.
+the pairs whose joint bins still explain most of what is left get tables of their own, boosted by
+a Newton step for each cell. A score is a sum of table entries, so a batch is scored by `searchsorted` and adds.
 
 Nulls and empty texts have all counts 0 and a score like any other row. Rows are scored one by
 one: repeated rows repeat, ties get the same score, an empty table gives an empty result and

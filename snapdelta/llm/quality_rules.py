@@ -18,7 +18,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
-from .shared import arrow_map, labelled_sample, read_table, text_buffer
+from .shared import arrow_map, fit_in_one_task, labelled_sample, read_table, text_buffer
 from .stats import base_counts
 from .subword import grams, means, vocabulary, word_scores
 from .toxicity import platt
@@ -79,13 +79,8 @@ def fit(data: np.ndarray, offsets: np.ndarray, y: np.ndarray, rounds: int = 60,
 
 
 def train(spark: SparkSession, sf_dir: str, documents: DataFrame, rows: int = 3000) -> RuleModel:
-    """Fit on at most `rows` labelled documents outside the held-out fold; the driver gets their texts."""
-    import pyarrow as pa
-
-    got = labelled_sample(spark, sf_dir, documents, "quality", rows).select("doc_id", "label", "text").toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
-    texts = got.column("text").cast(pa.large_string()).combine_chunks()
-    data, offsets = text_buffer(texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts)
-    return fit(data, offsets, got.column("label").to_numpy().astype(np.int64))
+    """Fit on at most `rows` labelled documents outside the held-out fold (and SAMPLE_BYTES of text), in one task."""
+    return fit_in_one_task(labelled_sample(spark, sf_dir, documents, "quality", rows), fit)
 
 
 def judge(docs: DataFrame, model: RuleModel, keep: float = KEEP) -> DataFrame:

@@ -8,6 +8,7 @@ one text, when a single text is longer) and never on the batch or the partition.
 from __future__ import annotations
 
 import os
+import pickle
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -178,3 +179,32 @@ def labelled_sample(spark: SparkSession, sf_dir: str, documents: DataFrame, labe
         .limit(rows)
     )
     return documents.select("doc_id", "text").join(F.broadcast(labels), "doc_id")
+
+
+#: Bytes of labelled texts that a fit takes at most; with them, its memory is bounded in rows and in bytes.
+SAMPLE_BYTES = 128 << 20
+
+
+def fit_in_one_task(sample: DataFrame, fit: Callable[[np.ndarray, np.ndarray, np.ndarray], object], most_bytes: int = SAMPLE_BYTES):
+    """What `fit` makes of the texts and labels of `sample` (from `labelled_sample`), in one task; the driver gets the model alone.
+
+    Texts come in the order of a hash of their ids, until the next would exceed `most_bytes`.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        raw, labels, size = [], [], 0
+        for batch in batches:
+            for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist()):
+                one = (text or "").encode()
+                size += len(one)
+                if size > most_bytes:
+                    break
+                raw.append(one)
+                labels.append(label)
+        if raw:
+            model = fit(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in raw])]).astype(np.int64), np.array(labels, np.int64))
+            yield pa.RecordBatch.from_pydict({"model": pa.array([pickle.dumps(model)], pa.binary())})
+
+    rows = sample.select("doc_id", "text", "label").repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id", "text").select("text", "label")
+    row = rows.mapInArrow(run, "model binary").first()
+    return pickle.loads(bytes(row["model"])) if row else fit(np.zeros(0, np.uint8), np.zeros(1, np.int64), np.zeros(0, np.int64))

@@ -1,14 +1,14 @@
 """Toxicity: embeddings of words and character n-grams, averaged into a linear softmax.
 
 A word's vector is the mean of the vectors of its hash buckets (the word and its n-grams of
-3 to 7 bytes), a bag's the mean over its words. One dimension starts as the smoothed log odds
-of each bucket; then buckets and softmax are trained together in numpy by full-batch Adam, on
-the bag of the words of each document that the model finds worst, beside random words of clean
-documents. A misspelt word shares most n-grams with the word it is meant for, and n-grams that the
-training never saw don't count. Toxic words are
-few in a long text, so a text's score is that of the bag of its three worst words, found among
-all its words, and calibrated on documents that the training didn't use. As the softmax is
-linear, a bucket's whole effect is one number, so that scoring is a table lookup.
+3 to 7 bytes), a bag's the mean over its words. Buckets and softmax start at random and are trained
+together in numpy by full-batch Adam: first on the averages of whole texts, then on the averages of
+the words of each document that the model finds worst, beside random words of clean documents. A
+misspelt word shares most n-grams with the word it is meant for, and n-grams that the training never
+saw don't count. Toxic words are few in a long text and vanish in its average, so a text's score is
+that of the bag of its three worst words, found among all its words, and calibrated on documents
+that the training didn't use. As the softmax is linear, a bucket's whole effect is one number, so
+that scoring is a table lookup.
 
 All text counts; null and empty texts get the calibrated score of the bare bias. Ties, repeated
 rows, an empty table and extra columns change nothing for the other rows. Held-out, null or
@@ -22,12 +22,14 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
-from .shared import arrow_map, held_out, labelled_sample, read_table, text_buffer
+from .shared import arrow_map, fit_in_one_task, held_out, labelled_sample, read_table, text_buffer
 from .subword import grams, means, vocabulary, word_scores
 
 #: Words whose vectors are averaged: the worst of a text.
 PASSAGE = 3
 BITS = 19
+#: Size of the softmax's weights while whole texts are averaged.
+GAIN = 1000.0
 
 
 @dataclass
@@ -62,18 +64,24 @@ class _Trainer:
 
     def __init__(self, bucket: np.ndarray, first: np.ndarray, dims: int, rate: float, decay: float, seed: int, size: int):
         r = np.random.default_rng(seed)
-        self.bucket, self.first, self.size, self.rate, self.decay = bucket, first, np.diff(first), rate, decay
+        self.bucket, self.first, self.size = bucket, first, np.diff(first)
         self.owner = np.repeat(np.arange(len(self.size), dtype=np.int32), self.size)
         self.e = (r.standard_normal((size, dims)) * 0.01).astype(np.float32)
-        self.w = (r.standard_normal((dims, 2)) * 0.5).astype(np.float32)
+        sign = np.sign(r.standard_normal((dims, 1))) / np.sqrt(dims)
+        self.w = (sign * np.array([[-0.5, 0.5]]) * GAIN).astype(np.float32)
         self.b = np.zeros(2, np.float32)
+        self.begin(rate, decay)
+
+    def begin(self, rate: float, decay: float) -> None:
+        self.rate, self.decay, self.t = rate, decay, 0
         self.moments = [[np.zeros_like(p), np.zeros_like(p)] for p in (self.e, self.w, self.b)]
-        self.t = 0
 
-    def begin(self, odds: np.ndarray) -> None:
-        """The first dimension starts as the log odds of each bucket, read by the softmax as such."""
-        self.e[:, 0] = odds
-        self.w[0] = -0.5, 0.5
+    def rescale(self) -> None:
+        """From averages of whole texts to those of a few words: softmax of usual size, word effects of deviation 1/2."""
+        self.w /= GAIN
+        self.b[:] = 0
+        z, _ = self.effect()
+        self.e *= 0.5 / max(float(np.std(z[self.bucket])), 1e-9)
 
     def words(self) -> np.ndarray:
         """One dimension at a time, so that memory stays a few numbers for each bucket of a word."""
@@ -103,24 +111,6 @@ class _Trainer:
         return self.e @ (self.w[:, 1] - self.w[:, 0]), float(self.b[1] - self.b[0])
 
 
-def _log_odds(doc: np.ndarray, word: np.ndarray, times: np.ndarray, bucket: np.ndarray, first: np.ndarray, y: np.ndarray, use: np.ndarray, size: int, prior: float = 8.0) -> np.ndarray:
-    """Smoothed log odds of a bucket among the words of label 1 against those of label 0; rare buckets stay near 0.
-
-    A document's words weigh as 100 words at most, so that no long text outweighs the others.
-    """
-    n = np.diff(first)
-    length = np.bincount(doc, times, len(y))
-    weight = times * np.minimum(1, 100 / np.maximum(length, 1))[doc]
-    share = []
-    for label in (0, 1):
-        mine = use[doc] & (y[doc] == label)
-        by_word = np.bincount(word[mine], weight[mine], len(n))
-        share.append((np.bincount(bucket, np.repeat(by_word, n), size), by_word.sum()))
-    (clean, all_clean), (bad, all_bad) = share
-    total = max(1.0, all_clean + all_bad)
-    return np.log((bad + prior * all_bad / total) / (clean + prior * all_clean / total) * (max(1.0, all_clean) / max(1.0, all_bad))).astype(np.float32)
-
-
 def platt(raw: np.ndarray, y: np.ndarray, rounds: int = 60) -> tuple[float, float]:
     """Slope and shift of a logistic curve by Newton steps, on smoothed labels."""
     scale = float(np.std(raw)) or 1.0
@@ -144,8 +134,8 @@ def _known(bucket: np.ndarray, first: np.ndarray, unknown: int) -> tuple[np.ndar
     return bucket[keep], np.concatenate([[0], np.cumsum(np.add.reduceat(keep, first[:-1], dtype=np.int64))])
 
 
-def fit(data: np.ndarray, offsets: np.ndarray, y: np.ndarray, dims: int = 6, rounds: int = 24, rate: float = 0.02, decay: float = 0.3, least: int = 4, bits: int = BITS, seed: int = 5) -> Toxicity:
-    """Joint training on texts with labels; buckets in fewer than `least` documents stay 0."""
+def fit(data: np.ndarray, offsets: np.ndarray, y: np.ndarray, dims: int = 4, whole: int = 20, rounds: int = 40, rate: float = 0.05, decay: tuple[float, float] = (0.03, 0.3), least: int = 4, bits: int = BITS, seed: int = 5) -> Toxicity:
+    """Joint training on texts with labels, `whole` rounds on whole texts and `rounds` on bags; buckets in fewer than `least` documents stay 0."""
     share = (y.sum() + 1) / (len(y) + 2)
     nothing = Toxicity(np.zeros(1 << bits, np.float32), 0.0, 1.0, float(np.log(share / (1 - share))), bits)
     w, number, s, e = vocabulary(data, offsets)
@@ -168,10 +158,17 @@ def fit(data: np.ndarray, offsets: np.ndarray, y: np.ndarray, dims: int = 6, rou
     dense = np.full(1 << bits, len(used), np.int32)
     dense[used] = np.arange(len(used))
     bucket, first = _known(dense[bucket], first, len(used))
-    t = _Trainer(bucket, first, dims, rate, decay, seed, len(used) + 1)
+    t = _Trainer(bucket, first, dims, rate, decay[0], seed, len(used) + 1)
     use = ~fold
-    t.begin(_log_odds(pair_doc, pair_word, counts, t.bucket, t.first, y, use, len(t.e)))
     weigh = lambda labels: np.where(labels == 1, 0.5 / max(1, labels.sum()), 0.5 / max(1, (1 - labels).sum()))
+    share = counts / np.maximum(w.counts, 1)[pair_doc]
+    importance = np.zeros(len(y))
+    importance[use] = weigh(y[use])
+    for _ in range(whole):
+        t.step(pair_doc, pair_word, share, y, importance)
+        t.e[len(used)] = 0
+    t.rescale()
+    t.begin(rate, decay[1])
     docs = np.flatnonzero(use & (w.counts > 0))
     clean = docs[y[docs] == 0]
     for k in range(rounds):
@@ -193,24 +190,8 @@ def fit(data: np.ndarray, offsets: np.ndarray, y: np.ndarray, dims: int = 6, rou
 
 
 def train(spark: SparkSession, sf_dir: str, documents: DataFrame, rows: int = 3000) -> Toxicity:
-    """Fit on at most `rows` labelled documents outside the held-out fold, in one task; the driver gets the table."""
-
-    def run(batches):
-        import pyarrow as pa
-
-        table = pa.Table.from_batches(list(batches))
-        if table.num_rows:
-            table = table.sort_by([("doc_id", "ascending"), ("text", "ascending")])
-        texts = table.column("text").combine_chunks() if table.num_rows else pa.array([], pa.string())
-        data, offsets = text_buffer(texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts)
-        m = fit(data, offsets, table.column("label").to_numpy().astype(np.int64) if table.num_rows else np.zeros(0, np.int64))
-        yield pa.RecordBatch.from_pydict({"effects": pa.array([m.table.tobytes()], pa.binary()), "bias": [m.bias], "slope": [m.slope], "shift": [m.shift]})
-
-    sample = labelled_sample(spark, sf_dir, documents, "toxic", rows).select("doc_id", "text", "label").repartition(1)
-    row = sample.mapInArrow(run, "effects binary, bias double, slope double, shift double").first()
-    if row is None:
-        return fit(np.zeros(0, np.uint8), np.zeros(1, np.int64), np.zeros(0, np.int64))
-    return Toxicity(np.frombuffer(bytes(row["effects"]), np.float32), row["bias"], row["slope"], row["shift"])
+    """Fit on at most `rows` labelled documents outside the held-out fold (and SAMPLE_BYTES of text), in one task; the driver gets the table."""
+    return fit_in_one_task(labelled_sample(spark, sf_dir, documents, "toxic", rows), fit)
 
 
 def score(docs: DataFrame, model: Toxicity, threshold: float = 0.5) -> DataFrame:

@@ -629,3 +629,23 @@ def test_without(spark, docs, nothing):
     assert got.columns == named.columns and got.filter("doc_id in (3, 8)").count() == 0
     assert got.count() == every - named.filter("doc_id in (3, 8)").count()
     assert without(named, gone.limit(0)).count() == every and without(nothing, gone).count() == 0
+
+
+@pytest.mark.parametrize("op", [toxicity.op5, quality_rules.op6, quality_gam.op8])
+def test_models_without_rows_or_matching_labels(spark, tables, nothing, tmp_path, op):
+    """Empty documents give an empty result; labels that name no document give every text one score."""
+    for name, df in (("none", nothing), ("other", spark.read.parquet(f"{tables}/documents.parquet"))):
+        df.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame([(10**9, 1, 1), (10**9 + 1, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/{name}/labels.parquet")
+    assert op(spark, f"{tmp_path}/none").count() == 0
+    got = op(spark, f"{tmp_path}/other")
+    column = "score" if "score" in got.columns else "probability"
+    assert got.count() and got.select(column).distinct().count() == 1
+
+
+def test_toxicity_comes_from_the_training():
+    """Without rounds on either kind of average the embeddings say nothing."""
+    texts, y = labelled_texts()
+    data, offsets = buffer(texts)
+    right = lambda m: ((m.score(data, offsets) >= 0.5) == y).mean()
+    assert right(toxicity.fit(data, offsets, y, whole=0, rounds=0)) < 0.8 < 0.95 < right(toxicity.fit(data, offsets, y))
