@@ -251,6 +251,7 @@ class Reader:
         self.t = tokens
         self.loaders, self.compilers, self.factories = {"require"}, {"eval", "Function"}, {"createRequire"}
         self.close = self._pair()
+        self.open = {b: a for a, b in self.close.items()}
 
     def _pair(self) -> dict[int, int]:
         out, stack = {}, []
@@ -277,9 +278,9 @@ class Reader:
             value, literal, i = value + more[0][0], False, more[1]
         return (value, literal), i
 
-    def whole(self, i: int, end: int) -> tuple[str, bool] | None:
+    def whole(self, i: int, end: int, depth: int = 0) -> tuple[str, bool] | None:
         """The folded expression that fills the tokens i .. end - 1."""
-        got = self.fold(i) if i < end else None
+        got = self.fold(i, depth) if i < end else None
         return got[0] if got and got[1] == end else None
 
     def arguments(self, open_at: int, depth: int = 0) -> list[tuple[int, int]]:
@@ -318,7 +319,7 @@ class Reader:
                 base, end = got[0], self.close[i] + 1
         elif self.is_(i, "[") and i in self.close:
             call = self.close[i] + 1
-            if self._member(call) == "join" and (at := self._call_after(call)) is not None:
+            if self._member(call, depth) == "join" and (at := self._call_after(call)) is not None:
                 items, glue = self._each(i, depth), self._each(at, depth)
                 if items is not None and glue is not None:
                     base, end = ((glue[0] if glue else ",").join(items), False), self.close[at] + 1
@@ -327,7 +328,7 @@ class Reader:
         if base is None:
             return None
         while True:  # .concat(...), non-null marks and type assertions
-            if self._member(end) == "concat" and (at := self._call_after(end)) is not None:
+            if self._member(end, depth) == "concat" and (at := self._call_after(end)) is not None:
                 more = self._each(at, depth)
                 if more is None:
                     return None
@@ -363,7 +364,7 @@ class Reader:
         if name == "atob" and self.is_(i + 1, "(") and i + 1 in self.close:
             got = self._each(i + 1, depth)
             return ((_from_base64(got[0]).decode("utf-8", "replace"), False), self.close[i + 1] + 1) if got else (None, i)
-        if name == "String" and self._member(i + 1) == "fromCharCode" and (at := self._call_after(i + 1)) is not None:
+        if name == "String" and self._member(i + 1, depth) == "fromCharCode" and (at := self._call_after(i + 1)) is not None:
             codes = []
             for a, b in self.arguments(at):
                 if b != a + 1 or self.t[a].kind != "number":
@@ -373,20 +374,20 @@ class Reader:
                 except ValueError:
                     return None, i
             return ("".join(map(chr, codes)).encode("utf-16", "surrogatepass").decode("utf-16", "replace"), False), self.close[at] + 1
-        if name == "Buffer" and self._member(i + 1) == "from" and (at := self._call_after(i + 1)) is not None:
+        if name == "Buffer" and self._member(i + 1, depth) == "from" and (at := self._call_after(i + 1)) is not None:
             source, call = self._each(at, depth), self.close[at] + 1
-            if source and self._member(call) == "toString" and (to := self._call_after(call)) is not None:
+            if source and self._member(call, depth) == "toString" and (to := self._call_after(call)) is not None:
                 target = self._each(to, depth)
                 read, write = _TO_BYTES.get(source[1] if len(source) > 1 else "utf8"), _TO_TEXT.get((target or ["utf8"])[0])
                 if target is not None and read and write:
                     return (write(read(source[0])), False), self.close[to] + 1
         return None, i
 
-    def _member(self, i: int) -> str | None:
+    def _member(self, i: int, depth: int = 0) -> str | None:
         """Name of the property that the tokens at `i` select."""
         if self.is_(i, ".", "?.") and i + 1 < len(self.t) and self.t[i + 1].kind == "name":
             return self.t[i + 1].text
-        if self.is_(i, "[") and i in self.close and (got := self.whole(i + 1, self.close[i])):
+        if self.is_(i, "[") and i in self.close and (got := self.whole(i + 1, self.close[i], depth + 1)):
             return got[0]
         return None
 
@@ -475,7 +476,7 @@ class Reader:
                     module(self.t[i + 1].text, True, t.start)
                 elif t.text in ("import", "export"):
                     j = i + 1
-                    while j + 1 < len(self.t) and j < i + 2000 and not self.is_(j, ";", "=", "(", "function", "class"):
+                    while j + 1 < len(self.t) and not self.is_(j, ";", "=", "(", "function", "class", "import", "export"):
                         if self.is_(j, "from") and self.t[j + 1].kind == "string":
                             module(self.t[j + 1].text, True, t.start)
                             break
@@ -486,7 +487,7 @@ class Reader:
                     elif t.text in self.compilers - {"eval", "Function"}:
                         out.append((t.start, "dynamic-code", "compiles a string through another name"))
             if (t.kind == "name" and member and self.is_(i + 1, "(")) or (t.kind == "punct" and t.text == "]" and self.is_(i + 1, "(")):
-                at = i - 1 if t.kind == "name" else next((a for a, b in self.close.items() if b == i), -1)
+                at = i - 1 if t.kind == "name" else self.open.get(i, -1)
                 name = self._member(at) if at > 0 else None
                 if name is None or t.text == "]" and (self.t[at - 1].kind == "punct" and self.t[at - 1].text not in (")", "]", "}", "`end")):
                     continue
@@ -500,15 +501,14 @@ class Reader:
 
     def _chain_start(self, i: int) -> int:
         """First token of the member chain whose last selection begins at token `i`."""
-        opened = {b: a for a, b in self.close.items()} if i > 0 and self.is_(i - 1, ")", "]") else {}
         while i > 0:
             if self.t[i - 1].kind in ("name", "string"):
                 i -= 1
                 if not self.is_(i - 1, ".", "?."):
                     return i
                 i -= 1
-            elif i - 1 in opened:
-                i = opened[i - 1]
+            elif self.is_(i - 1, ")", "]") and i - 1 in self.open:
+                i = self.open[i - 1]
                 if not (i > 0 and (self.t[i - 1].kind == "name" or self.is_(i - 1, ")", "]"))):
                     return i
             else:
@@ -529,9 +529,13 @@ def profile(text: str, ext: str = ".js") -> dict[str, list]:
     feeds = [m.start() for m in re.finditer("\n", text)]
     lines = text.split("\n")
 
+    snippets: dict[int, str] = {}  # a line may hold a great many signals
+
     def place(at: int) -> tuple[int, str]:
         k = bisect_right(feeds, at - 1)
-        return k + 1, truncated(lines[k])
+        if k not in snippets:
+            snippets[k] = truncated(lines[k])
+        return k + 1, snippets[k]
 
     found: list[tuple[int, str, str]] = []
     for pattern, capability, message in TEXT_RULES:

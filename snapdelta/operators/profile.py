@@ -45,7 +45,10 @@ def profile_contents(contents: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                got = code.profile(row["content"].decode("utf-8", "replace"), row["ext"])
+                try:
+                    got = code.profile(row["content"].decode("utf-8", "replace"), row["ext"])
+                except Exception as e:  # a content that defeats the reader is a gap, and no other content suffers
+                    got = {"signals": [], "hosts": [], "gaps": [("parse-failure", f"the analysis failed: {type(e).__name__}")]}
                 yield pa.RecordBatch.from_pylist(
                     [{
                         "sha256": row["sha256"], "ext": row["ext"],

@@ -1,5 +1,7 @@
 """What the static code profile finds, and what it leaves alone."""
 
+import time
+
 import pytest
 
 from snapdelta.functions.code import Ranges, Reader, profile, scan
@@ -89,3 +91,21 @@ def test_fold_limits():
     deep = "'a'" + "+'a'" * 5
     assert Reader(scan(deep).tokens).whole(0, 11)[0] == "a" * 6
     assert Reader(scan("'a' + b").tokens).fold(0) is None
+
+
+def test_hostile_texts_take_seconds():
+    began = time.perf_counter()
+    names = ", ".join(f"n{i}" for i in range(30_000))
+    assert ("child_process", 1) in [x[:2] for x in profile(f"import {{ {names} }} from 'child_process'")["signals"]]
+    nested = "'a'[" * 3000 + "'b'" + "]" * 3000
+    for text in (nested, f"x = {nested};", 'f(1).constructor("x");' * 40_000, "import " * 100_000, "export * " * 100_000, "a" + "(a" * 3000 + ")" * 3000, "require(" * 2000 + "'fs'" + ")" * 2000):
+        profile(text)
+    assert time.perf_counter() - began < 60
+
+
+def test_one_failing_content_is_a_gap(spark, monkeypatch):
+    from snapdelta.operators import profile as operator
+
+    rows = spark.createDataFrame([("a", ".js", bytearray(b"require('fs')")), ("b", ".js", None)], "sha256 string, ext string, content binary")
+    got = {r["sha256"]: r for r in operator.profile_contents(rows).collect()}  # a null content fails in the reader
+    assert got["a"]["signals"] and not got["a"]["gaps"] and got["b"]["gaps"][0]["reason"] == "parse-failure"
