@@ -278,17 +278,19 @@ def divide_skip(sets: list[np.ndarray], labels: np.ndarray, percent: int, asks:
     n = len(order)
     values = np.concatenate([sets[i] for i in order])
     first = np.concatenate([[0], np.cumsum(size)])
-    owner = np.repeat(np.arange(n), size)
     by_value = np.argsort(values, kind="stable")
     ranked = values[by_value]
-    new = np.concatenate([[True], ranked[1:] != ranked[:-1]])
-    of_rank = np.cumsum(new) - 1
-    of = np.empty(len(values), np.int64)  # number of the inverted list of each shingle of each document
-    of[by_value] = of_rank
+    new = np.append(True, ranked[1:] != ranked[:-1])
     start = np.append(np.flatnonzero(new), len(values))
+    del values, ranked
+    of_rank = np.cumsum(new, dtype=np.int32) - 1
+    of = np.empty(len(by_value), np.int32)  # number of the inverted list of each shingle of each document
+    of[by_value] = of_rank
+    posted = np.repeat(np.arange(n, dtype=np.int32), size)[by_value]
+    del by_value, new
     length = np.diff(start)
-    posted = owner[by_value]
-    probe = of_rank * n + posted  # sorted: a list's documents are found by binary search
+    probe = of_rank.astype(np.int64) * n + posted  # sorted: a list's documents are found by binary search
+    del of_rank
     joined = Joined(labels[order])
     ask = None if asks is None else asks[order]
     links = []
@@ -330,7 +332,7 @@ def divide_skip(sets: list[np.ndarray], labels: np.ndarray, percent: int, asks:
             lists = [p for p in map(strangers, lists) if len(p)]
         if len(lists) < spare:
             continue
-        long = mine[by_length[nx - longest :]]
+        long = mine[by_length[nx - longest :]].astype(np.int64)
         for y, c in sorted(zip(*merge_counts(lists)), key=lambda t: -t[1]):
             if c < spare:
                 break

@@ -24,7 +24,20 @@ from pyspark.sql import functions as F
 SLICE_BYTES = 1 << 20
 
 
+#: Bytes of an Arrow batch, of which Spark and Python each hold one or two for a task.
+BATCH_BYTES = 8 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lowers the session's limit on Arrow batches to BATCH_BYTES, if it is above: whole texts make large rows."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name).removesuffix("b")
+    if not (now.isdigit() and 0 < int(now) <= BATCH_BYTES):
+        spark.conf.set(name, f"{BATCH_BYTES}b")
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -136,6 +149,7 @@ def arrow_map(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.Record
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
+    bound_batches(df.sparkSession)
     out = to_arrow_schema(StructType.fromDDL(schema), prefers_large_types=False)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
