@@ -7,17 +7,19 @@ If the hash range is cut into more than D segments, some segments have the same
 both; so equal segments (hashed, with the size band and the place) bring every linked pair
 together. Each set is told how many of its segments a linked set must share; sets that share
 fewer, with any others, are dropped before blocks are made, so that common passages join no
-strangers. Documents that share segments, over any number of steps, then form a block; equal sets
-count once, whatever the number of copies. A segment crosses the network once, and once only for
+strangers; the rest keep only the rarest of their segments, enough to meet each linked set in one.
+Documents that share these segments in one size band, over any number of steps, then form a block
+of that band; equal sets count once, whatever the number of copies. A segment crosses the network once, and once only for
 each portion of a task's documents, however many of them hold it.
 
 Search. Within a block, T-occurrence by DivideSkip: each shingle has an inverted list of the
 documents that hold it. For a document with the required overlap T, the L longest of its lists
 are set aside, the others are heap-merged, documents that occur T - L times or more are probed
 by binary search in the long lists, and those that reach the overlap are linked. Documents that
-links already join are not compared again and leave the lists before they are merged. Blocks above a bound of rows or shingles are cut by
-size, as alike sets have like sizes, and where that is not enough into parts: first each part alone, then every pair of parts that can hold a link between different
-components, so that no task holds a whole large block and no link is lost.
+links already join are not compared again and leave the lists before they are merged. Blocks above
+a bound of rows or shingles are cut into parts: first each part alone, then every pair of parts that
+can hold a link between different components, so that no task holds a whole large block and no link
+is lost.
 
 Words are runs outside white space, lower-cased in A-Z. Texts with fewer than k words have one
 shingle, the whole sequence; null texts and texts without words have none and are linked with
@@ -30,12 +32,11 @@ Sets are told apart by a 64-bit hash; two of n different sets collide with chanc
 from __future__ import annotations
 
 import heapq
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
@@ -73,15 +74,20 @@ def set_key(s: np.ndarray) -> int:
 
 #: Low bits of a signature that hold the number of its size band.
 BAND_BITS = 7
+#: Cuts of a set by different hashes, at most.
+CUTS = 32
 
 
 class Segments:
     """Signatures of sets: for each size band the hash range is cut into D + 1 + spare segments.
 
-    Two alike sets agree on spare + 1 segments at least. A set gives no signature for its empty
-    segments, unless it has more than `spare`; if all segments on which two sets agree are
-    empty, both sets have more than `spare` of them, and give them. So a set that gives none for
-    its e empty segments shares spare + 1 - e signatures at least with each set like it.
+    Two alike sets agree on spare + 1 segments at least. Empty segments give no signature, as
+    strangers agree on them too; so a set with e <= spare of them shares spare + 1 - e signatures
+    at least with each set like it. A set with more is cut again, by another hash, until it has
+    at most `spare`, and gives the signatures of all its cuts: of two alike sets the first that
+    is done has such a cut, and the other gives signatures for the same one. After CUTS cuts,
+    which chance hardly ever needs, a set gives its empty segments as well, and every set with
+    that many cuts does.
     """
 
     def __init__(self, percent: int):
@@ -97,29 +103,49 @@ class Segments:
             if b + 1 == len(self.low):
                 self.low.append(max(self.low[-1] + 1, int(self.low[-1] * 1.25)))
             apart = 2 * (self.low[b + 1] - 1) * (100 - self.percent) // (100 + self.percent)
-            spare = 2 + apart // 12 if apart else 0
+            spare = 3 + apart // 6 if apart else 0
             yield b, apart + 1 + spare, spare
             b += 1
 
+    def band_of(self, n: Column) -> Column:
+        """Number of the band of the size `n`."""
+        for _ in self.bands(1 << 40):
+            pass
+        return F.size(F.filter(F.array(*map(F.lit, self.low)), lambda x: x <= n)) - 1
+
     def signatures(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Signatures of a set, the band in their low bits, and how many of a band a like set shares at least."""
         if len(s) == 0:
             return s, np.zeros(0, np.int32)
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(s ^ _U(0x5851F42D4C957F2D)), dtype=np.uint64)])
-        top = (s >> _U(32)).astype(np.uint64)
+        cuts = [self._summed(s, 0)]
         out, needs = [], []
         for band, m, spare in self.bands(len(s)):
-            cuts = ((np.arange(m + 1, dtype=np.uint64) << _U(32)) + _U(m - 1)) // _U(m)
-            at = np.searchsorted(top, cuts)
-            at[-1] = len(s)
-            empty = at[1:] == at[:-1]
-            sig = mix((sums[at[1:]] - sums[at[:-1]]) ^ mix(np.arange(m, dtype=np.uint64) + _U(band << 32)))
-            sig = sig >> _U(BAND_BITS) << _U(BAND_BITS) | _U(band)
-            n_empty = int(empty.sum())
-            out.append(sig if n_empty > spare else sig[~empty])
-            needs.append(np.full(len(out[-1]), 1 if n_empty > spare else spare + 1 - n_empty, np.int32))
+            edges = ((np.arange(m + 1, dtype=np.uint64) << _U(32)) + _U(m - 1)) // _U(m)
+            own = []
+            for salt in range(CUTS):
+                if salt == len(cuts):
+                    cuts.append(self._summed(s, salt))
+                top, sums = cuts[salt]
+                at = np.searchsorted(top, edges)
+                at[-1] = len(s)
+                sig = mix((sums[at[1:]] - sums[at[:-1]]) ^ mix(np.arange(m, dtype=np.uint64) + _U(band << 32 | salt << 48)))
+                full = at[1:] > at[:-1]
+                n_empty = m - int(full.sum())
+                own.append(sig if salt == CUTS - 1 else sig[full])
+                if n_empty <= spare:
+                    break
+            own = np.concatenate(own)
+            out.append(own >> _U(BAND_BITS) << _U(BAND_BITS) | _U(band))
+            needs.append(np.full(len(own), 1 if salt else spare + 1 - n_empty, np.int32))
         return np.concatenate(out), np.concatenate(needs)
 
+    @staticmethod
+    def _summed(s: np.ndarray, salt: int) -> tuple[np.ndarray, np.ndarray]:
+        """Upper halves of the sorted hashes of a cut, and sums over the shingles before each."""
+        if salt:
+            s = np.sort(mix(s ^ mix(np.array([salt], np.uint64))))
+        return s >> _U(32), np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(s ^ _U(0x5851F42D4C957F2D)), dtype=np.uint64)])
+
 
 def identities(docs: DataFrame, k: int) -> DataFrame:
     """doc_id, n_shingles and node (the set's name; null for an empty set) of every row."""
@@ -217,26 +243,44 @@ def shared_signatures(rows: DataFrame) -> DataFrame:
 
 
 def near_pairs(shared: DataFrame, rounds: int = 2) -> DataFrame:
-    """(u, v): each node beside the least node of every signature they share.
+    """(node, centre, band): each node beside the least node of every signature they share.
 
     Before that, nodes that share fewer signatures of a band than a like set would are dropped,
-    and again, as others then share fewer.
+    and again, as others then share fewer. In the last round each node keeps its rarest
+    signatures of a band, without need - 1 of the most frequent (prefix filter): two alike sets
+    share as many as each of them needs, so both keep the rarest of these, while signatures of
+    common passages bring few strangers together.
     """
     band = F.col("sig").bitwiseAND((1 << BAND_BITS) - 1)
     last = None
+    shared = shared.withColumn("n", F.lit(0).cast("long"))
     for _ in range(rounds):
-        own = shared.groupBy("node", band.alias("band")).agg(F.collect_set("sig").alias("sigs"), F.first("need").alias("need"))  # at most as many as one set has segments
-        enough = rewrite(own.filter(F.size("sigs") >= F.col("need")).select("node", "need", F.explode("sigs").alias("sig")), "signatures")
+        own = shared.groupBy("node", band.alias("band")).agg(F.collect_set(F.struct("n", "sig")).alias("sigs"), F.first("need").alias("need"))  # at most as many as one set has segments
+        own = own.filter(F.size("sigs") >= F.col("need"))
+        if last is not None:
+            own = own.withColumn("sigs", F.slice(F.sort_array("sigs"), F.lit(1), F.size("sigs") - F.col("need") + 1))
+        enough = rewrite(own.select("node", "need", F.explode("sigs.sig").alias("sig")), "signatures")
         if last is not None:
             discard(last)
         last = enough
-        centres = enough.groupBy("sig").agg(F.min("node").alias("centre"), F.max("node").alias("other")).filter("centre < other").select("sig", "centre")
+        centres = enough.groupBy("sig").agg(F.min("node").alias("centre"), F.max("node").alias("other"), F.count("*").alias("n")).filter("centre < other").select("sig", "centre", "n")
         shared = enough.join(centres, "sig")
-    pairs = rewrite(shared.filter("node <> centre").select(F.col("node").alias("u"), F.col("centre").alias("v")).distinct(), "pairs")
+    pairs = rewrite(shared.filter("node <> centre").select("node", "centre", band.alias("band")).distinct(), "pairs")
     discard(last)
     return pairs
 
 
+def blocks(pairs: DataFrame) -> DataFrame:
+    """(node, band, block): the nodes that the pairs of one band join, over any number of steps.
+
+    Two alike sets meet in the band of the larger one. No step goes from band to band.
+    """
+    at = lambda name: F.xxhash64(name, "band")
+    found = components(pairs.select(at("node").alias("u"), at("centre").alias("v")))
+    ends = pairs.select("node", "band").union(pairs.select("centre", "band")).distinct()
+    return ends.withColumn("id", at("node")).join(found, "id").select("node", "band", F.col("label").alias("block"))
+
+
 class Joined:
     """Which documents of a task links already join: equal labels; a join relabels the smaller side."""
 
@@ -398,18 +442,11 @@ def join(spark: SparkSession, documents: DataFrame, k: int = 5, percent: int = 8
     """doc_id, n_shingles and component_id of every row of `documents`."""
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     ids = cut(identities(docs, k))
-    blocks = components(near_pairs(shared_signatures(signature_rows(docs, k, percent)))).withColumnsRenamed({"id": "node", "label": "block"})
+    pairs = near_pairs(shared_signatures(signature_rows(docs, k, percent)))
     one = ids.filter("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"))
-    members = cut(one.join(blocks, "node").withColumn("ask", F.lit(True)))
-    members = members.join(_parts(members, part_rows, part_shingles), "block")
-    small, large = members.filter("parts = 1").drop("parts"), members.filter("parts > 1").drop("parts")
-    # a large block is cut by size first: alike sets lie in one band or in neighbouring ones, so a
-    # set goes to its own band and, as one that doesn't ask, to the next
-    width = math.log(101 / percent)  # a little over the largest ratio of sizes
-    band = F.floor(F.log(F.col("n_shingles")) / width)
-    large = large.select("node", "doc_id", "n_shingles", "block", F.explode(F.array(F.struct(F.lit(True).alias("ask"), band.alias("band")), F.struct(F.lit(False).alias("ask"), (band + 1).alias("band")))).alias("at"))
-    large = large.select("node", "doc_id", "n_shingles", F.xxhash64("block", "at.band").alias("block"), "at.ask")
-    members = small.unionByName(large)
+    # a set asks in the band of its size; in those of larger sets it only answers
+    members = cut(one.join(blocks(pairs), "node").withColumn("ask", Segments(percent).band_of(F.col("n_shingles")) == F.col("band")).drop("band"))
+    discard(pairs)
     members = cut(members.join(_parts(members, part_rows, part_shingles), "block").withColumn("part", F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts")).cast("int")))
     docs = docs.filter(may_hold(members)(F.col("doc_id")))
     texts = docs.join(members.select("doc_id", "node", "block", "part", "ask"), "doc_id")
@@ -424,8 +461,8 @@ def join(spark: SparkSession, documents: DataFrame, k: int = 5, percent: int = 8
 
 
 def _parts(members: DataFrame, part_rows: int, part_shingles: int) -> DataFrame:
-    """In how many parts each block has to be searched."""
-    return members.groupBy("block").agg(F.greatest(F.ceil(F.count("*") / part_rows), F.ceil(F.sum("n_shingles") / part_shingles)).cast("int").alias("parts"))
+    """In how many parts each block has to be searched; blocks where none asks are left out."""
+    return members.groupBy("block").agg(F.max("ask").alias("asked"), F.greatest(F.ceil(F.count("*") / part_rows), F.ceil(F.sum("n_shingles") / part_shingles)).cast("int").alias("parts")).filter("asked").drop("asked")
 
 
 def across(docs: DataFrame, large: DataFrame, links: DataFrame, k: int, percent: int, part_rows: int, part_shingles: int) -> DataFrame:

@@ -134,6 +134,28 @@ def test_jaccard_join_at_five_words_among_common_passages(spark):
         assert got == brute_components(rows, 5, 80)
 
 
+def test_strangers_share_no_signature():
+    """Sets with many empty segments are not brought together by these."""
+    r = np.random.default_rng(5)
+    for percent in (80, 90):
+        s = jaccard_join.Segments(percent)
+        got = [np.unique(s.signatures(np.unique(r.integers(0, 2**63, n).astype(np.uint64) * np.uint64(2)))[0]) for n in (5, 7, 20, 200) for _ in range(400)]
+        assert np.unique(np.concatenate(got), return_counts=True)[1].max() == 1
+
+
+def test_blocks_of_strangers_with_a_common_passage(spark):
+    """Documents that only share a passage form no large block; no step goes from band to band."""
+    r = random.Random(3)
+    passage = sentence(r, 25)
+    rows = [(i, sentence(r, 60 + i) + " " + passage) for i in range(200)]
+    rows += [(200 + i, t.replace(t.split()[5], "new")) for i, t in rows[:40]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    pairs = jaccard_join.near_pairs(jaccard_join.shared_signatures(jaccard_join.signature_rows(docs, 5, 80)))
+    sizes = [n["count"] for n in jaccard_join.blocks(pairs).groupBy("block").count().collect()]
+    assert max(sizes) <= 6 and sum(sizes) >= 80
+    assert sorted(map(tuple, jaccard_join.join(spark, docs).collect()), key=repr) == brute_components(rows, 5, 80)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 40) if i % 10 != 9] + [(100, 5), (7, 7)]
     got = {r["id"]: r["label"] for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
