@@ -314,6 +314,12 @@ def merge_counts(lists: list[np.ndarray]) -> tuple[list[int], list[int]]:
 def divide_skip(sets: list[np.ndarray], labels: np.ndarray, percent: int, asks: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Links that join all linked documents of one task.
 
+    All lists have one order, the shortest first. A document of n shingles, of which a linked one
+    holds T at least, sets its T - l longest lists aside and is posted in the others alone; so two
+    linked documents share at least the smaller l of theirs among postings of both. Documents met
+    so often are probed in all lists. Near copies of one text that are not linked with each other
+    differ in many short lists, so they are not posted in the long ones of what they have in common.
+
     Documents of equal `labels` are joined from the start. Where `asks` is given, only pairs with
     at least one asking document are compared.
     """
@@ -330,15 +336,28 @@ def divide_skip(sets: list[np.ndarray], labels: np.ndarray, percent: int, asks:
     of_rank = np.cumsum(new, dtype=np.int32) - 1
     of = np.empty(len(by_value), np.int32)  # number of the inverted list of each shingle of each document
     of[by_value] = of_rank
-    posted = np.repeat(np.arange(n, dtype=np.int32), size)[by_value]
+    holder = np.repeat(np.arange(n, dtype=np.int32), size)[by_value]
     del by_value, new
     length = np.diff(start)
-    probe = of_rank.astype(np.int64) * n + posted  # sorted: a list's documents are found by binary search
-    del of_rank
+    rank = np.empty(len(length), np.int64)
+    rank[np.argsort(length, kind="stable")] = np.arange(len(length))  # one order of all lists, the shortest first
+    probe = of_rank.astype(np.int64) * n + holder  # sorted: a list's documents are found by binary search
+    del of_rank, holder
     joined = Joined(labels[order])
     ask = None if asks is None else asks[order]
     links = []
     low = np.searchsorted(size * 100, size * percent)
+    spare = 1 + size // 64
+    # each document is posted in its shortest lists alone, those that it does not set aside for any document of its size or larger
+    posts = np.minimum(size, size - -(-2 * percent * size // (100 + percent)) + spare)
+    shortest = np.argsort((np.repeat(np.arange(n, dtype=np.int64), size) << 32) + rank[of])  # of each document, from first[x] on, by rank
+    kept = shortest[np.arange(len(of)) - np.repeat(first[:-1], size) < np.repeat(posts, size)]
+    kept = kept[length[of[kept]] > 1]
+    at = of[kept]
+    by_list = np.argsort(at, kind="stable")  # documents stay in order
+    posted = np.repeat(np.arange(n, dtype=np.int32), size)[kept][by_list]
+    start = np.concatenate([[0], np.cumsum(np.bincount(at, minlength=len(length)))])
+    del kept, at, by_list
 
     def alike(x: int, y: int, common: int) -> bool:
         if 100 * common < percent * (int(size[x]) + int(size[y]) - common):
@@ -347,45 +366,42 @@ def divide_skip(sets: list[np.ndarray], labels: np.ndarray, percent: int, asks:
         links.append((int(order[x]), int(order[y])))
         return True
 
-    for x in range(n):
+    for x in range(1, n):
         nx = int(size[x])
-        need = -(-percent * nx // 100)
-        mine = of[first[x] : first[x + 1]]
-        spare = min(need, 1 + nx // 64)
-        longest = need - spare  # L: lists that are probed
-        by_length = np.argpartition(length[mine], nx - longest - 1) if longest else np.arange(nx)
-        short = mine[by_length[: nx - longest]]
-        short = short[length[short] > 1]
-        if len(short) < spare:
+        if low[x] == x:
             continue
+        need = -(-percent * (nx + int(size[low[x]])) // (100 + percent))  # T for the smallest document that may be linked
+        least = int(spare[low[x]])
+        mine = of[shortest[first[x] : first[x] + min(nx, nx - need + int(spare[x]))]]  # all but the L longest lists, which are probed
         lists = []
-        for a, b in zip(start[short].tolist(), start[short + 1].tolist()):
-            p = posted[a:b]
-            if b - a > 8:
-                p = p[np.searchsorted(p, low[x]) : np.searchsorted(p, x)]
-            else:
-                p = p[(p >= low[x]) & (p < x)]
-            if len(p):
-                lists.append(p)
+        for a, b in zip(start[mine].tolist(), start[mine + 1].tolist()):
+            if b - a > 1:
+                p = posted[a:b]
+                if b - a > 8:
+                    p = p[np.searchsorted(p, low[x]) : np.searchsorted(p, x)]
+                else:
+                    p = p[(p >= low[x]) & (p < x)]
+                if len(p):
+                    lists.append(p)
+            elif b > a and low[x] <= posted[a] < x:
+                lists.append(posted[a:b])
         strangers = lambda p: p[joined.label[p] != joined.label[x]] if ask is None or ask[x] else p[(joined.label[p] != joined.label[x]) & ask[p]]
         lists = [p for p in map(strangers, lists) if len(p)]
-        while len(lists) >= spare:  # while the nearest of the shortest list is a link, its whole component leaves the lists
+        while len(lists) >= least:  # while the nearest of the shortest list is a link, its whole component leaves the lists
             y = int(min(lists, key=len)[-1])
             if not alike(x, y, len(np.intersect1d(sets[order[x]], sets[order[y]], assume_unique=True))):
                 break
             lists = [p for p in map(strangers, lists) if len(p)]
-        if len(lists) < spare:
+        if len(lists) < least:
             continue
-        long = mine[by_length[nx - longest :]].astype(np.int64)
+        own = of[first[x] : first[x + 1]].astype(np.int64) * n
         for y, c in sorted(zip(*merge_counts(lists)), key=lambda t: -t[1]):
-            if c < spare:
+            if c < least:
                 break
-            if joined.label[x] == joined.label[y]:
+            if c < spare[y] or joined.label[x] == joined.label[y]:
                 continue
-            if longest:
-                at = np.minimum(np.searchsorted(probe, long * n + y), len(probe) - 1)
-                c += int((probe[at] == long * n + y).sum())
-            alike(x, y, c)
+            at = np.minimum(np.searchsorted(probe, own + y), len(probe) - 1)
+            alike(x, y, int((probe[at] == own + y).sum()))
     return links
 
 

@@ -156,6 +156,30 @@ def test_blocks_of_strangers_with_a_common_passage(spark):
     assert sorted(map(tuple, jaccard_join.join(spark, docs).collect()), key=repr) == brute_components(rows, 5, 80)
 
 
+def test_search_among_near_copies_that_are_not_linked(monkeypatch):
+    """What copies of one text have in common is not merged again for each of them."""
+    r = np.random.default_rng(4)
+    base = np.arange(1, 401, dtype=np.uint64)
+    sets = []
+    for _ in range(300):
+        kept = base[r.random(400) > r.choice([0.01, 0.1, 0.2])]
+        sets.append(np.concatenate([kept, np.unique(r.integers(1000, 9000, 400 - len(kept)).astype(np.uint64))]))
+    merged, merge = [], jaccard_join.merge_counts
+    monkeypatch.setattr(jaccard_join, "merge_counts", lambda lists: merged.append(sum(map(len, lists))) or merge(lists))
+    asks = r.random(300) < 0.5
+    for ask in (None, asks):
+        merged.clear()
+        label = np.arange(300)
+        for x, y in jaccard_join.divide_skip(sets, label.copy(), 90, ask):
+            label[label == label[x]] = label[y]
+        assert sum(merged) < 300 * 300
+        for x in range(300):
+            for y in range(x):
+                same = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+                linked = 100 * same >= 90 * (len(sets[x]) + len(sets[y]) - same) and (ask is None or ask[x] or ask[y])
+                assert not linked or label[x] == label[y]
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 40) if i % 10 != 9] + [(100, 5), (7, 7)]
     got = {r["id"]: r["label"] for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
