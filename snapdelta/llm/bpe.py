@@ -37,7 +37,7 @@ FRESH, IN_LETTERS, IN_NUMBERS, IN_OTHER, AFTER_BLANK, AFTER_SPACE, AT_QUOTE, QUO
 HERE, BEFORE = 1, 2
 #: Code points of a block, and of its head.
 BLOCK, HEAD = 64, 4
-#: Pieces that a worker's cache holds before it starts afresh.
+#: Pieces that a worker's cache holds before it starts afresh, as it does with each task.
 CACHE = 500_000
 
 _classes: np.ndarray | None = None
@@ -386,7 +386,7 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
 
         return work
 
-    return arrow_map(docs.select("doc_id", "text"), "doc_id long, ids array<int>, offsets array<int>", make)
+    return arrow_map(docs.select("doc_id", "text"), "doc_id long, ids array<int>, offsets array<int>", make, forget=lambda: codec(path).forget())
 
 
 def decode(tokens: DataFrame, path: str | None = None) -> DataFrame:
@@ -417,7 +417,7 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
 
         return work
 
-    return arrow_map(docs.select("doc_id", "text"), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", make)
+    return arrow_map(docs.select("doc_id", "text"), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", make, forget=lambda: codec(path).forget())
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:

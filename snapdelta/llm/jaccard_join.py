@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import arrow_map, cut, discard, may_hold, read_table, rewrite, slices, text_buffer, without
+from .shared import arrow_map, cut, discard, give_back, may_hold, read_table, rewrite, slices, text_buffer, without
 from .words import LOWER, factors, find_words, mix, windows
 
 #: A block above this many documents or shingles is cut into parts.
@@ -203,6 +203,8 @@ def signature_rows(docs: DataFrame, k: int, percent: int, held: int = HELD) -> D
                             sigs, needs, nodes, n = [], [], [], 0
         if n:
             yield flush(sigs, needs, nodes)
+        del sigs, needs, nodes, seen
+        give_back()
 
     return docs.select("doc_id", "text").mapInArrow(run, "sig long, node long, mark int")
 
@@ -450,6 +452,8 @@ def search(rows: DataFrame, k: int, percent: int) -> DataFrame:
             if got:
                 pairs = node[keep][np.array(got)]
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], schema=schema)
+            del sets
+        give_back()
 
     return rows.repartition("block", "part").sortWithinPartitions("block", "part").mapInArrow(run, "u long, v long")
 

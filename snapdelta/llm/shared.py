@@ -7,6 +7,8 @@ one text, when a single text is longer) and never on the batch or the partition.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 import pickle
 import tempfile
@@ -144,8 +146,15 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return d, o - o[0]
 
 
-def arrow_map(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordBatch], dict]], text: str | None = "text", limit: int = SLICE_BYTES) -> DataFrame:
-    """`df` through `make()(slice) -> {column: array}`; `make` runs once in each task."""
+def give_back() -> None:
+    """Returns free memory to the system: Spark keeps Python workers, idle ones too, for later tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # glibc alone has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def arrow_map(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordBatch], dict]], text: str | None = "text", limit: int = SLICE_BYTES, forget: Callable[[], None] | None = None) -> DataFrame:
+    """`df` through `make()(slice) -> {column: array}`; `make` runs once in each task, and `forget` at its end."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
@@ -161,6 +170,10 @@ def arrow_map(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.Record
                     columns = [_array(got[f.name], f.type) for f in out]
                     if len(columns[0]):
                         yield pa.RecordBatch.from_arrays(columns, schema=out)
+        del work
+        if forget:
+            forget()
+        give_back()
 
     return df.mapInArrow(run, schema)
 

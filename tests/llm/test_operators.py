@@ -647,6 +647,18 @@ def test_substring_dedup_gives_texts(spark, nothing):
     assert substring_dedup.dedup(spark, nothing).count() == 0
 
 
+def test_workers_keep_no_cache_of_pieces(spark, docs):
+    """Spark's Python workers stay for later tasks; what the tokenizer has met doesn't stay in them."""
+    assert bpe.digests(docs).filter("n_tokens > 0").count() > 0
+
+    def held(batches):
+        list(batches)
+        yield pa.RecordBatch.from_pydict({"codecs": [len(bpe._codecs)], "pieces": [sum(map(len, bpe._codecs.values()))]})
+
+    got = spark.range(0, 64, 1, 16).mapInArrow(held, "codecs long, pieces long").agg(F.sum("codecs"), F.sum("pieces")).first()
+    assert got[0] > 0 and got[1] == 0
+
+
 # --- pipeline ----------------------------------------------------------------
 
 
